@@ -81,22 +81,20 @@ def slices(buf: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def words(buf: np.ndarray, offsets: np.ndarray, fold: bool = True) -> Words:
-    """fold: A-Z count as a-z in the hashes."""
-    offsets = offsets - offsets[0] if len(offsets) else np.zeros(1, np.int64)
+def borders(buf: np.ndarray, offsets: np.ndarray, ink: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of ink begin and end; no run crosses documents."""
     n = len(buf)
-    if not n:
-        none = np.zeros(0, np.int64)
-        return Words(buf, none, none, np.zeros(len(offsets), np.int64), np.zeros(0, np.uint64))
-    ink = ~_SPACE[buf]
     before = np.empty(n, bool)
     before[0], before[1:] = False, ink[:-1]
     before[offsets[:-1][offsets[:-1] < n]] = False
-    starts = np.flatnonzero(ink & ~before)
     after = np.empty(n, bool)
     after[-1], after[:-1] = False, ink[1:]
     after[offsets[1:][offsets[1:] > 0] - 1] = False
-    ends = np.flatnonzero(ink & ~after) + 1
+    return np.flatnonzero(ink & ~before), np.flatnonzero(ink & ~after) + 1
+
+
+def hashed(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, offsets: np.ndarray, fold: bool = True) -> Words:
+    n = len(buf)
     up, down = _powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((_FOLDED_KEYS if fold else _BYTE_KEYS)[buf] * up[:n], out=total[1:])
@@ -104,6 +102,16 @@ def words(buf: np.ndarray, offsets: np.ndarray, fold: bool = True) -> Words:
     return Words(buf, starts, ends, np.searchsorted(starts, offsets), hashes)
 
 
+def words(buf: np.ndarray, offsets: np.ndarray, fold: bool = True) -> Words:
+    """fold: A-Z count as a-z in the hashes."""
+    offsets = offsets - offsets[0] if len(offsets) else np.zeros(1, np.int64)
+    if not len(buf):
+        none = np.zeros(0, np.int64)
+        return Words(buf, none, none, np.zeros(len(offsets), np.int64), np.zeros(0, np.uint64))
+    starts, ends = borders(buf, offsets, ~_SPACE[buf])
+    return hashed(buf, starts, ends, offsets, fold)
+
+
 def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each document's runs of k words (of all its words where it has fewer), and where each document's begin."""
     seeds = mix(np.arange(1, k + 1, dtype=np.uint64) * _BASE) | np.uint64(1)
