@@ -1,18 +1,19 @@
 """Operators for training-data pipelines over documents, embeddings and pages."""
 
-from memloom.llm import fingerprints, line_dedup, mixing, packing, secrets, url_filters
+from memloom.llm import fingerprints, jaccard_join, line_dedup, mixing, packing, secret_scan, url_filters
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op3_fingerprints": fingerprints.op3_fingerprints,
     "op4_mix_sources": mixing.op4_mix_sources,
-    "op5_scan_secrets": secrets.op5_scan_secrets,
+    "op5_scan_secrets": secret_scan.op5_scan_secrets,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_url_filters": url_filters.op8_url_filters,
+    "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.SQL,
     "op4_mix_sources": mixing.SQL,
-    "op5_scan_secrets": secrets.SQL,
+    "op5_scan_secrets": secret_scan.SQL,
     "op8_url_filters": url_filters.SQL,
 }

@@ -127,7 +127,7 @@ def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     got = out[np.minimum(at, max(len(out) - 1, 0))] if len(out) else np.zeros(len(at), np.uint64)
     for d in short:
         h = w.hashes[w.first[d] : w.first[d + 1]]
-        got[first[d]] = mix((h * seeds[: len(h)]).sum(dtype=np.uint64) ^ np.uint64(len(h)))
+        got[first[d]] = mix((h * seeds[: len(h)]).sum(dtype=np.uint64, keepdims=True) ^ np.uint64(len(h)))[0]
     return got, first
 
 
