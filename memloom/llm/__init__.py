@@ -1,6 +1,6 @@
 """Operators for training-data pipelines over documents, embeddings and pages."""
 
-from memloom.llm import fingerprints, jaccard_join, line_dedup, mixing, packing, secret_scan, url_filters
+from memloom.llm import fingerprints, jaccard_join, line_dedup, mixing, packing, secret_scan, toxicity, url_filters
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_scan_secrets": secret_scan.op5_scan_secrets,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_url_filters": url_filters.op8_url_filters,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 ORACLE_SQL = {
