@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from memloom.llm import textvec
 from memloom.llm.common import part_of, table
@@ -89,7 +90,7 @@ def fingerprint(docs: DataFrame, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, "fingerprint"])
 
     docs = docs.drop("fingerprint")
-    return docs.mapInArrow(run, docs.schema.add("fingerprint", "string"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("fingerprint", T.StringType())]))
 
 
 def with_next(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
