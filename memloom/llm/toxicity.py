@@ -246,9 +246,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
         for batch in batches:
             buf, offsets = textvec.raw(batch.column(1))
             for i, j in textvec.slices(buf, offsets):
-                w, at, number = tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1])
-                score = (model.weights[features(w, at)].sum(1, dtype=np.float64) + model.bias)[number] if len(at) else np.zeros(0)
-                p, _, _ = chain(score, w.first, model.steps)
+                w, p = _marginals(model, buf[offsets[i] : offsets[j]], offsets[i : j + 1])
                 z = _doc_inputs(p, w.first) @ model.doc
                 likely = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(likely), pa.array((likely >= REJECT).astype(np.int32)), pa.array(_spans(w, p, offsets[i : j + 1] - offsets[i]), span)], names=[id_col, "score", "predicted", "spans"])
@@ -257,6 +255,27 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int, spans array<struct<start:long,stop:long,marginal:double>>")
 
 
+def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows whose text scores below REJECT, with all their columns; null and empty texts are scored like any other."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offsets = textvec.raw(batch.column(at))
+            for i, j in textvec.slices(buf, offsets):
+                w, p = _marginals(model, buf[offsets[i] : offsets[j]], offsets[i : j + 1])
+                z = _doc_inputs(p, w.first) @ model.doc
+                yield batch.slice(i, j - i).filter(pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))) < REJECT))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _marginals(model: Model, buf: np.ndarray, offsets: np.ndarray) -> tuple[textvec.Words, np.ndarray]:
+    w, at, number = tokens(buf, offsets)
+    score = (model.weights[features(w, at)].sum(1, dtype=np.float64) + model.bias)[number] if len(at) else np.zeros(0)
+    return w, chain(score, w.first, model.steps)[0]
+
+
 def _spans(w: textvec.Words, p: np.ndarray, offsets: np.ndarray) -> list[list[dict]]:
     out: list[list[dict]] = [[] for _ in range(len(w.first) - 1)]
     hot = np.flatnonzero(p >= 0.5)
