@@ -1,6 +1,6 @@
 """Views over the test tables, query plans and the catalogue of queries."""
 
-from memloom.plans import store_queries  # noqa: F401
+from memloom.plans import search_queries, store_queries  # noqa: F401
 from memloom.plans.catalog import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
