@@ -87,7 +87,7 @@ def _firsts(buckets: int, several: int, long: int):
         bucket = (h % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cut = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-        ends = np.append(cut[1:], len(order))
+        ends = np.append(cut[1:], len(order))[: len(cut)]
         cols = [[c[order[a:b]].tobytes() for a, b in zip(cut, ends, strict=True)] for c in (h, ids, ties, at, again.astype(np.uint8))]
         yield pa.RecordBatch.from_arrays([pa.array(bucket[order][cut].astype(np.int32)), pa.array(np.full(len(cut), group, np.int32)), *(pa.array(c, pa.binary()) for c in cols)], names=["bucket", "group", "h", "ids", "ties", "at", "again"])
 
@@ -116,7 +116,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     h, group = h[more], group[more]
     order = np.argsort(group, kind="stable")
     cut = np.flatnonzero(np.diff(group[order], prepend=-1))
-    ends = np.append(cut[1:], len(order))
+    ends = np.append(cut[1:], len(order))[: len(cut)]
     cols = [[c[order[a:b]].tobytes() for a, b in zip(cut, ends, strict=True)] for c in (h, ids[first], ties[first], at[first])]
     yield pa.RecordBatch.from_arrays([pa.array(group[order][cut]), *(pa.array(c, pa.binary()) for c in cols)], names=["_group", "h", "ids", "ties", "at"])
 
