@@ -14,7 +14,9 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
 
 
 def hours_between(earlier: Column, later: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.timestamp_diff("SECOND", earlier, later) / F.lit(3600.0))
+    """Not below 0; null where a time is null."""
+    hours = F.timestamp_diff("SECOND", earlier, later) / F.lit(3600.0)
+    return F.when(hours < 0, 0.0).otherwise(hours)
 
 
 def half_life(importance: Column, access: Column, emotion: Column, reinforced: Column, base_hours: float = 168.0) -> Column:
@@ -40,12 +42,13 @@ def base_strength(age_hours: Column, importance: Column, access: Column) -> Colu
 
 
 def fact_decay(days: Column, confirmations: Column) -> Column:
-    return F.coalesce(F.greatest(F.lit(0.1), F.exp(F.lit(-0.01) / (1 + 0.5 * F.log1p(confirmations)) * days)), F.lit(1.0))
+    """1 where no date is known."""
+    return F.when(days.isNull(), 1.0).otherwise(F.greatest(F.lit(0.1), F.exp(F.lit(-0.01) / (1 + 0.5 * F.log1p(confirmations)) * days)))
 
 
 def episode_decay(days: Column, valence: Column, access: Column, rate: Column | float = 0.099) -> Column:
     rate = F.lit(rate) if isinstance(rate, float) else F.coalesce(rate, F.lit(0.099))
-    return F.coalesce(F.greatest(F.lit(0.02), F.exp(-rate / (1 + 1.5 * F.abs(valence)) / (1 + 0.5 * F.log1p(access)) * days)), F.lit(1.0))
+    return F.when(days.isNull(), 1.0).otherwise(F.greatest(F.lit(0.02), F.exp(-rate / (1 + 1.5 * F.abs(valence)) / (1 + 0.5 * F.log1p(access)) * days)))
 
 
 def fact_freshness(age_hours: Column, importance: Column, confirmations: Column) -> Column:
