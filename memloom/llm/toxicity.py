@@ -9,12 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from memloom.llm import textvec
 from memloom.llm.common import table
 
-#: Labelled documents that are learned from, at most so many of each label; buckets of hashed features.
-LEARN_EACH, BUCKETS = 2_000, 1 << 18
+#: Labelled documents that are learned from, at most so many and with so many bytes of each label; buckets of hashed features.
+LEARN_EACH, LEARN_BYTES, BUCKETS = 1_500, 6 << 20, 1 << 18
 #: Byte lengths of the beginnings and endings of a token that are features beside the whole token.
 HEADS, TAILS = (3, 4, 5, 6), (4, 5)
 ROUNDS, RATE, DECAY, SEGMENT = 40, 0.5, 1e-4, 128
@@ -61,7 +62,7 @@ def features(w: textvec.Words, at: np.ndarray) -> np.ndarray:
                 code = code * np.uint64(257) + np.where((b >= 65) & (b <= 90), b + np.uint64(32), b)
             code = textvec.mix(code * np.uint64(64) + np.uint64(kind * 16 + n))
             cols.append(np.where(ok, (code % np.uint64(BUCKETS)).astype(np.int64), BUCKETS))
-    return np.stack(cols, 1)
+    return np.stack(cols, 1, dtype=np.int32, casting="unsafe")
 
 
 def chain(score: np.ndarray, first: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,14 +139,17 @@ def _token_labels(feats: np.ndarray, number: np.ndarray, doc: np.ndarray, toxic:
     """Labelled tokens from labelled documents: features are chosen one after another, each time the one that explains the
     most toxic documents that none explains yet and hardly any clean one; then those that are as telling and at least a
     quarter as frequent as the chosen ones' median. Tokens of toxic documents that have a chosen feature are toxic."""
-    pairs = np.unique(doc.astype(np.int64) * (int(number.max(initial=0)) + 1) + number)
-    d, u = pairs // (int(number.max(initial=0)) + 1), pairs % (int(number.max(initial=0)) + 1)
-    key = np.unique((d[:, None] * (BUCKETS + 1) + feats[u]).ravel())
-    d, f = key // (BUCKETS + 1), key % (BUCKETS + 1)
-    d, f = d[f < BUCKETS], f[f < BUCKETS]
-    bad = toxic[d] == 1
-    clean_docs = np.bincount(f[~bad], minlength=BUCKETS)
-    d, f = d[bad], f[bad]
+    clean_docs, found = np.zeros(BUCKETS + 1, np.int64), []
+    for x in range(0, len(toxic), 100):  # few documents at a time: the driver has little memory
+        lo, hi = np.searchsorted(doc, [x, x + 100])
+        units = np.unique(doc[lo:hi].astype(np.int64) << 32 | number[lo:hi])
+        key = np.unique(((units >> 32)[:, None] << 32 | feats[units & 0xFFFFFFFF]).ravel())
+        d, f = key >> 32, key & 0xFFFFFFFF
+        clean_docs += np.bincount(f[toxic[d] == 0], minlength=BUCKETS + 1)
+        keep = (toxic[d] == 1) & (f < BUCKETS)
+        found.append(np.stack([d[keep], f[keep]]).astype(np.int32))
+    clean_docs = clean_docs[:BUCKETS]
+    d, f = np.concatenate(found, 1)
     order = np.argsort(f, kind="stable")
     d, f = d[order], f[order]
     at = np.searchsorted(f, np.arange(BUCKETS + 1))
@@ -177,8 +181,14 @@ def learn(texts: pa.Array, toxic: np.ndarray, base_rate: float) -> Model:
     if not len(toxic) or toxic.min() == toxic.max():
         return model
     buf, offsets = textvec.raw(texts)
-    w, at, number = tokens(buf, offsets)
+    parts = [(tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1])[0], offsets[i]) for i, j in textvec.slices(buf, offsets)]
+    hashes, starts, ends = np.concatenate([w.hashes for w, _ in parts]), np.concatenate([w.starts + o for w, o in parts]), np.concatenate([w.ends + o for w, o in parts])
+    w = textvec.Words(buf, starts, ends, np.concatenate([[0], np.cumsum(np.concatenate([w.counts for w, _ in parts]))]), hashes)
+    del parts, starts, ends
+    _, at, number = np.unique(hashes, return_index=True, return_inverse=True)
+    number = number.astype(np.int32)
     feats, doc, first = features(w, at), w.doc(), w.first
+    del buf, offsets, at, w, hashes
     y = _token_labels(feats, number, doc, toxic).astype(float)
     weights, squares, bias, bias_sq, steps, steps_sq = np.zeros(BUCKETS + 1), np.full(BUCKETS + 1, 1e-6), -4.0, 1e-6, model.steps, np.full(3, 1e-6)
     inner = np.ones(len(y), bool)
@@ -229,6 +239,8 @@ def learn_from(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col:
     order = F.xxhash64("_id", F.lit("learn"))
     chosen = rows.where("_y = 1").orderBy(order, "_id").limit(each).unionByName(rows.where("_y = 0").orderBy(order, "_id").limit(each))
     picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")  # at most 2 * each rows
+    size = F.sum(F.octet_length("_text")).over(Window.partitionBy("_y").orderBy(order, "_id", "_text").rowsBetween(Window.unboundedPreceding, 0))
+    picked = picked.where("_text is not null").withColumn("_size", size).where(F.col("_size") <= LEARN_BYTES)
     sample = picked.select("_id", "_text", "_y").toArrow().sort_by([("_id", "ascending"), ("_text", "ascending")])
     return learn(sample.column("_text"), sample.column("_y").to_numpy().astype(np.int64), base)
 
