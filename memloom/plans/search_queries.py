@@ -67,16 +67,16 @@ def q03(spark, sf):
 
 
 @query("t01_exact_knn", """SELECT query, place, vec_id, round(score, 6)::DOUBLE AS score FROM (SELECT q.vec_id AS query, v.vec_id, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score,
-  row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) DESC, v.vec_id) AS place FROM embeddings v, embeddings q WHERE q.vec_id < 10) WHERE place <= 10""")
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) DESC, v.vec_id) AS place FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0) WHERE place <= 10""")
 def t01(spark, sf):
     v = table(spark, sf, "embeddings")
-    return search.cosine_top(v, v.where("vec_id < 10"), 10).select("query", F.col("place").cast("long").alias("place"), "vec_id", r6(F.col("score")).alias("score"))
+    return search.cosine_top(v, v.where("vec_id % 100 = 0"), 10).select("query", F.col("place").cast("long").alias("place"), "vec_id", r6(F.col("score")).alias("score"))
 
 
 @query("t04_mmr")
 def t04(spark, sf):
     v = table(spark, sf, "embeddings")
-    near = search.cosine_top(v, v.where("vec_id < 10"), 30).join(v.select("vec_id", "embedding"), "vec_id")
+    near = search.cosine_top(v, v.where("vec_id % 100 = 0"), 30).join(v.select("vec_id", "embedding"), "vec_id")
     return search.mmr(near.select("query", F.col("vec_id").alias("id"), "score", F.col("embedding").alias("vector")), "query", 10)
 
 
