@@ -49,9 +49,9 @@ FRESH = f"""greatest(0, least(1, importance * pow(0.5, {HOURS} / (672.0 * (1 + i
 @query("q05_budgeted_recall", with_views(f"""SELECT id, score, used, content FROM (SELECT id, score, content, sum(len(list_filter(string_split_regex(content, '\\s+'), lambda w: w <> ''))) OVER (ORDER BY score DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS used
   FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(content)) ORDER BY score DESC, id) AS n FROM (
     SELECT f.id, f.content, round({FRESH} * CASE WHEN category = 'creative' THEN 1.3 ELSE 1.0 END * ln(1 + confirmation_count), 9)::DOUBLE AS score
-    FROM facts f JOIN (SELECT id FROM scored ORDER BY round(score, 9) DESC, id LIMIT 50) h ON f.id = h.id WHERE NOT is_superseded)) WHERE n = 1) WHERE used <= 200""", FACTS, BM25.replace('{prefixes}', "('hero'), ('th'), ('en'), ('champion'), ('warrior')")))
+    FROM facts f JOIN (SELECT id FROM scored ORDER BY round(score, 9) DESC, id LIMIT 50) h ON f.id = h.id WHERE NOT is_superseded)) WHERE n = 1) WHERE used <= 1000""", FACTS, BM25.replace('{prefixes}', "('hero'), ('th'), ('en'), ('champion'), ('warrior')")))
 def q05(spark, sf):
-    return budgeted_recall(spark, facts(spark, sf), "hero th en", "creative")
+    return budgeted_recall(spark, facts(spark, sf), "hero th en", "creative", 1000)
 
 
 @query("q03_hybrid_merge", with_views("""SELECT coalesce(t.id, v.id) AS id, round(0.2 * coalesce(ts, 0) + 0.8 * coalesce(vs, 0), 6)::DOUBLE AS score FROM
