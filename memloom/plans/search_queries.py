@@ -55,8 +55,8 @@ def q05(spark, sf):
 
 
 @query("q03_hybrid_merge", with_views("""SELECT coalesce(t.id, v.id) AS id, round(0.2 * coalesce(ts, 0) + 0.8 * coalesce(vs, 0), 6)::DOUBLE AS score FROM
-  (SELECT id, 1 - (row_number() OVER (ORDER BY round(score, 9) DESC, id) - 1) / (50 + 1.0) AS ts FROM scored ORDER BY round(score, 9) DESC, id LIMIT 50) t FULL JOIN
-  (SELECT id, 1 - (row_number() OVER (ORDER BY importance DESC, id) - 1) / (50 + 1.0) AS vs FROM facts ORDER BY importance DESC, id LIMIT 50) v ON t.id = v.id""", FACTS, BM25.replace('{prefixes}', "('sch'), ('then'), ('ment')")))
+  (SELECT id, 1 - (row_number() OVER (ORDER BY round(score, 9) DESC, id) - 1) / ((SELECT least(50, count(*)) FROM scored) + 1.0) AS ts FROM scored ORDER BY round(score, 9) DESC, id LIMIT 50) t FULL JOIN
+  (SELECT id, 1 - (row_number() OVER (ORDER BY importance DESC, id) - 1) / ((SELECT least(50, count(*)) FROM facts) + 1.0) AS vs FROM facts ORDER BY importance DESC, id LIMIT 50) v ON t.id = v.id""", FACTS, BM25.replace('{prefixes}', "('sch'), ('then'), ('ment')")))
 def q03(spark, sf):
     from pyspark.sql.window import Window
 
