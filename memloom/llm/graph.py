@@ -2,12 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.llm.common import forget, keep
 
 
+#: Links that one task contracts at once.
+CONTRACTED = 500_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one partition's links: a link from each node to the least node that it reaches within the partition."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not parts:
+        return
+    a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        before = label.copy()
+        least = np.minimum(label[x], label[y])
+        np.minimum.at(label, x, least)
+        np.minimum.at(label, y, least)
+        np.minimum.at(label, before, label)
+        while not np.array_equal(label, label[label]):
+            label = label[label]
+        if np.array_equal(before, label):
+            break
+    more = np.flatnonzero(label != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[more]), pa.array(nodes[label[more]])], names=["a", "b"])
+
+
 def _state(links: DataFrame) -> tuple:
     row = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
     return row["n"], row["s"]
@@ -17,11 +48,17 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """Links (a, b), longs, in any direction and number, to (node, component): the least node that each can reach. Nodes
     without a link to another don't occur.
 
-    Alternates large-star and small-star steps until nothing changes; the rounds grow with the logarithm of the longest
+    First each of a few partitions, in number by the links, contracts its links to a forest, so that what is left grows with
+    the nodes and not with the links. Then alternates large-star and small-star steps until nothing changes; the rounds grow with the logarithm of the longest
     path. Each step pre-aggregates a least neighbour for each node and joins it to the links; no node's links are gathered
     into one row. Each round is written to the shared folder.
     """
     now = keep(spark, links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    for key in ("b", "a"):
+        width = max(4, _state(now)[0] // CONTRACTED + 1)
+        following = keep(spark, now.repartition(width, key).mapInArrow(_forest, "a long, b long").distinct())
+        forget(spark, now)
+        now = following
     seen = _state(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
