@@ -14,7 +14,7 @@ from memloom.llm import textvec
 from memloom.llm.common import keep, part_of, table
 
 #: A span starts at every sentence and takes in the next ones until it has at least two and SEVERAL words, or LONG words.
-SEVERAL, LONG = 20, 32
+SEVERAL, LONG = 14, 26
 #: Documents that one task holds; spans that one task compares.
 GROUP_ROWS, COMPARED = 8_000, 4_000_000
 _STOP = np.zeros(256, bool)
