@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from memloom.llm import textvec
 from memloom.llm.common import keep, part_of, table
 
-#: A span starts at every sentence and takes in the next ones until it has at least two and SEVERAL words, or LONG words.
-SEVERAL, LONG = 14, 26
+#: Spans: two sentences of SEVERAL words or more, whatever else they are part of, and cuts of LONG words or more.
+SEVERAL, LONG = 1, 26
+#: Of this many words of a sentence in a row, the one of least hash begins a new piece. A passage of 3 * PIECE + LONG words
+#: (50) holds a whole span of pieces wherever its sentences begin, as its pieces depend on its own words but at the edges.
+PIECE = 8
 #: Documents that one task holds; spans that one task compares.
 GROUP_ROWS, COMPARED = 8_000, 4_000_000
 _STOP = np.zeros(256, bool)
@@ -37,26 +40,78 @@ def sentences(buf: np.ndarray, offsets: np.ndarray) -> tuple[textvec.Words, np.n
     return w, first, np.searchsorted(first, w.first)
 
 
+def pieces(w: textvec.Words, first: np.ndarray, size: int = PIECE) -> np.ndarray:
+    """The first word of each piece (and one past the last): where sentences begin, and at the words of least hash of any
+    `size` words in a row of one sentence. A sentence of fewer words is one piece, and no piece has more than `size` words."""
+    n = len(w.hashes)
+    if n < size:
+        return first
+    order = textvec.mix(w.hashes ^ np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
+    sentence = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    least = _slide(order, size, np.minimum)
+    least[sentence[: len(least)] != sentence[size - 1 :]] = 0
+    none = np.zeros(size - 1, np.uint64)
+    chosen = _slide(np.concatenate([none, least, none]), size, np.maximum) == order
+    chosen[first[:-1]] = True
+    return np.append(np.flatnonzero(chosen), n)
+
+
+def _slide(v: np.ndarray, size: int, of: np.ufunc) -> np.ndarray:
+    width = 1
+    while width < size:  # overlapping halves
+        step = min(width, size - width)
+        v = of(v[: len(v) - step], v[step:])
+        width += step
+    return v
+
+
 def spans(w: textvec.Words, first: np.ndarray, docs: np.ndarray, several: int, long: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans: first sentence, one past the last, and a hash of the words."""
-    n = len(first) - 1
-    i = np.arange(n)
-    j = np.maximum(np.searchsorted(first, first[:-1] + several), i + 2)
-    j = np.minimum(j, np.searchsorted(first, first[:-1] + long))
-    j = np.maximum(j, i + 1)
-    end = docs[np.searchsorted(docs, i, "right")] if n else i
-    ok = j <= end
-    i, j = i[ok], j[ok]
+    """Spans: first word, one past the last, and a hash of the words. Every two sentences of `several` words together; every
+    sentence of `long` words; and from every piece on, as many as have `long` words."""
+    ends = w.first[1:]
+    own = lambda a, b: b <= ends[np.searchsorted(w.first, a, "right") - 1]  # noqa: E731  whether a span lies in one document
+    cut = pieces(w, first)
+    at = np.searchsorted(cut, cut[:-1] + long)
+    begin = cut[:-1][at < len(cut)]
+    stop = cut[at[at < len(cut)]]
+    single = first[1:] - first[:-1] >= long
+    a = np.concatenate([first[:-2], first[:-1][single], begin])
+    b = np.concatenate([first[2:], first[1:][single], stop])
+    pair = np.arange(len(a)) < len(first[:-2])
+    ok = own(a, b) & (~pair | (b - a >= several))
+    places = np.unique(a[ok] << 32 | b[ok] - a[ok])
+    a = places >> 32
+    b = a + (places & 0xFFFFFFFF)
     up, down = textvec._powers(len(w.hashes) + 1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.hashes * up[: len(w.hashes)])])
-    a, b = first[i], first[j]
-    return i, j, textvec.mix((total[b] - total[a]) * down[a] ^ (b - a).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+    return a, b, textvec.mix((total[b] - total[a]) * down[a] ^ (b - a).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
 
 def _ids(column: pa.Array) -> np.ndarray:
     return column.fill_null(_LEAST).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _packed(v: np.ndarray) -> bytes:
+    """The values' bytes by place, so that those that are mostly zero lie together and are compressed away."""
+    return v.view(np.uint8).reshape(-1, v.itemsize).T.tobytes()
+
+
+def _unpacked(b: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind)[:, 0]
+
+
+def _ranks(ids: np.ndarray, ties: np.ndarray, before: tuple[int, int, int] | None = None) -> np.ndarray:
+    """Of rows in order of id and tie: the number of lesser ties of the same id. before: id, tie, rank of the row ahead."""
+    if not len(ids):
+        return np.zeros(0, np.int64)
+    new = np.append(before is None or before[0] != ids[0], ids[1:] != ids[:-1])
+    step = np.append(not new[0] and before[1] != ties[0], (ties[1:] != ties[:-1]) & ~new[1:]).astype(np.int64)
+    total = np.cumsum(step) + (0 if new[0] else before[2])
+    start = np.maximum.accumulate(np.where(new, np.arange(len(ids)), -1))
+    return total - np.where(start >= 0, total[np.maximum(start, 0)], 0)
+
+
 def _firsts(buckets: int, several: int, long: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of one group's documents: for each distinct span its first place and whether it occurs again, dealt by the span."""
@@ -70,12 +125,14 @@ def _firsts(buckets: int, several: int, long: int):
             buf, offsets = textvec.raw(batch.column(3))
             for x, y in textvec.slices(buf, offsets):
                 w, first, docs = sentences(buf[offsets[x] : offsets[y]], offsets[x : y + 1])
-                i, _, h = spans(w, first, docs, several, long)
-                d = np.searchsorted(docs, i, "right") - 1
-                parts.append([h, ids[x:y][d], ties[x:y][d], (i - docs[d]).astype(np.int64)])
+                a, _, h = spans(w, first, docs, several, long)
+                d = np.searchsorted(w.first, a, "right") - 1
+                parts.append([h, ids[x:y][d], ties[x:y][d], a - w.first[d]])
         if not parts:
             return
         h, ids, ties, at = (np.concatenate(p) for p in zip(*parts, strict=True))
+        order = np.lexsort((ties, ids))
+        ties[order] = _ranks(ids[order], ties[order])
         order = np.lexsort((at, ties, ids, h))
         h, ids, ties, at = h[order], ids[order], ties[order], at[order]
         new = np.ones(len(h), bool)
@@ -85,39 +142,42 @@ def _firsts(buckets: int, several: int, long: int):
         again = (ids[last] != ids[starts]) | (ties[last] != ties[starts]) | (at[last] != at[starts])
         h, ids, ties, at = h[starts], ids[starts], ties[starts], at[starts]
         bucket = (h % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        order = np.lexsort((at, ties, ids, bucket))
         cut = np.flatnonzero(np.diff(bucket[order], prepend=-1))
         ends = np.append(cut[1:], len(order))[: len(cut)]
-        cols = [[c[order[a:b]].tobytes() for a, b in zip(cut, ends, strict=True)] for c in (h, ids, ties, at, again.astype(np.uint8))]
+        cols = [[_packed(np.diff(c[order[a:b]], prepend=np.int64(0)) if c is ids else c[order[a:b]]) for a, b in zip(cut, ends, strict=True)] for c in (h, ids, ties, at, again.astype(np.uint8))]
         yield pa.RecordBatch.from_arrays([pa.array(bucket[order][cut].astype(np.int32)), pa.array(np.full(len(cut), group, np.int32)), *(pa.array(c, pa.binary()) for c in cols)], names=["bucket", "group", "h", "ids", "ties", "at", "again"])
 
     return run
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one bucket: spans that occur more than once, with their first place over all groups, sent to each group that holds them."""
+    """Of one bucket: spans that occur more than once, sent to each group that is to remove them; with the first place over
+    all groups for the group that holds it, else with place -1."""
     groups, parts = [], [[], [], [], [], []]
     for batch in batches:
         for row in range(len(batch)):
             blobs = [batch.column(c)[row].as_py() for c in range(2, 7)]
             groups.append(np.full(len(blobs[0]) // 8, batch.column(1)[row].as_py(), np.int32))
-            for p, b in zip(parts, blobs, strict=True):
-                p.append(b)
+            for p, b, t in zip(parts, blobs, (np.uint64, np.int64, np.int64, np.int64, np.uint8), strict=True):
+                p.append(np.cumsum(_unpacked(b, t)) if p is parts[1] else _unpacked(b, t))
     if not groups:
         return
     group = np.concatenate(groups)
-    h, ids, ties, at, again = (np.frombuffer(b"".join(p), t) for p, t in zip(parts, (np.uint64, np.int64, np.int64, np.int64, np.uint8), strict=True))
+    h, ids, ties, at, again = (np.concatenate(p) for p in parts)
     order = np.lexsort((at, ties, ids, h))
     h, ids, ties, at, again, group = h[order], ids[order], ties[order], at[order], again[order], group[order]
     starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     n = np.diff(np.append(starts, len(h)))
-    more = np.repeat((n > 1) | (np.maximum.reduceat(again, starts) > 0), n)
-    first = np.repeat(starts, n)[more]
+    own = np.zeros(len(h), bool)
+    own[starts] = True
+    more = ~own | (again > 0)  # the first place's group has nothing to remove unless it holds the span again
     h, group = h[more], group[more]
+    ids, ties, at = (np.where(own, c, none)[more] for c, none in ((ids, 0), (ties, 0), (at, -1)))
     order = np.argsort(group, kind="stable")
     cut = np.flatnonzero(np.diff(group[order], prepend=-1))
     ends = np.append(cut[1:], len(order))[: len(cut)]
-    cols = [[c[order[a:b]].tobytes() for a, b in zip(cut, ends, strict=True)] for c in (h, ids[first], ties[first], at[first])]
+    cols = [[_packed(c[order[a:b]]) for a, b in zip(cut, ends, strict=True)] for c in (h, ids, ties, at)]
     yield pa.RecordBatch.from_arrays([pa.array(group[order][cut]), *(pa.array(c, pa.binary()) for c in cols)], names=["_group", "h", "ids", "ties", "at"])
 
 
@@ -126,6 +186,7 @@ def _removed(several: int, long: int):
         """Of one group: first the repeated spans, then its documents."""
         told: list[list[bytes]] = [[], [], [], []]
         known: list[np.ndarray] | None = None
+        before = None
         for batch in batches:
             kind = batch.column(4).to_numpy(zero_copy_only=False).astype(bool)
             for row in np.flatnonzero(~kind).tolist():
@@ -135,49 +196,56 @@ def _removed(several: int, long: int):
             if not len(batch):
                 continue
             if known is None:
-                known = [np.frombuffer(b"".join(p), t) for p, t in zip(told, (np.uint64, np.int64, np.int64, np.int64), strict=True)]
+                known = [np.concatenate([np.zeros(0, t), *(_unpacked(b, t) for b in p)]) for p, t in zip(told, (np.uint64, np.int64, np.int64, np.int64), strict=True)]
                 order = np.argsort(known[0], kind="stable")
                 known = [k[order] for k in known]
             ids, ties = _ids(batch.column(1)), batch.column(2).to_numpy()
+            last, ties = ties[-1], _ranks(ids, ties, before)
+            before = (ids[-1], last, ties[-1])
             buf, offsets = textvec.raw(batch.column(3))
             for x, y in textvec.slices(buf, offsets):
                 part = buf[offsets[x] : offsets[y]]
                 w, first, docs = sentences(part, offsets[x : y + 1])
-                i, j, h = spans(w, first, docs, several, long)
-                d = np.searchsorted(docs, i, "right") - 1
+                a, b, h = spans(w, first, docs, several, long)
+                d = np.searchsorted(w.first, a, "right") - 1
                 place = np.minimum(np.searchsorted(known[0], h), max(len(known[0]) - 1, 0))
                 hit = known[0][place] == h if len(known[0]) else np.zeros(len(h), bool)
                 if len(known[0]):
-                    hit &= ~((known[1][place] == ids[x:y][d]) & (known[2][place] == ties[x:y][d]) & (known[3][place] == i - docs[d]))
-                cover = np.zeros(len(first), np.int64)
-                np.add.at(cover, i[hit], 1)
-                np.add.at(cover, j[hit], -1)
+                    hit &= ~((known[1][place] == ids[x:y][d]) & (known[2][place] == ties[x:y][d]) & (known[3][place] == a - w.first[d]))
+                cover = np.zeros(len(w.hashes) + 1, np.int64)
+                np.add.at(cover, a[hit], 1)
+                np.add.at(cover, b[hit], -1)
                 gone = np.cumsum(cover)[:-1] > 0
-                texts, removed = [], []
+                lost = np.concatenate([[0], np.cumsum(np.add.reduceat(gone, first[:-1]) > 0)]) if len(first) > 1 else np.zeros(1, np.int64)
+                removed = lost[docs[1:]] - lost[docs[:-1]]
+                texts = []
                 base = offsets[x]
                 for k in range(y - x):
-                    s = np.arange(docs[k], docs[k + 1])
-                    cut = s[gone[s]]
-                    removed.append(len(cut))
-                    raw, stop = part[offsets[x + k] - base : offsets[x + k + 1] - base].tobytes(), offsets[x + k + 1] - base
-                    if len(cut):
+                    begin, stop = offsets[x + k] - base, offsets[x + k + 1] - base
+                    raw = part[begin:stop].tobytes()
+                    if removed[k]:
+                        f, g = w.first[k], w.first[k + 1]
+                        edge = np.flatnonzero(np.diff(np.concatenate([[False], gone[f:g], [False]])))
                         mark = np.ones(len(raw), bool)
-                        for c in cut.tolist():
-                            mark[w.starts[first[c]] - (offsets[x + k] - base) : (w.starts[first[c + 1]] if c + 1 < docs[k + 1] else stop) - (offsets[x + k] - base)] = False
-                        raw = np.frombuffer(raw, np.uint8)[mark].tobytes()
+                        for u, v in edge.reshape(-1, 2).tolist():
+                            mark[w.starts[f + u] - begin : (w.starts[f + v] if f + v < g else stop) - begin] = False
+                        raw = part[begin:stop][mark].tobytes()
                     texts.append(raw)
-                cols = [batch.column(1).slice(x, y - x), pa.array(np.diff(docs)), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array([t.decode() for t in texts])]
+                cols = [batch.column(1).slice(x, y - x), pa.array(np.diff(docs)), pa.array(removed), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array([t.decode() for t in texts])]
                 yield pa.RecordBatch.from_arrays(cols, names=["_id", "n_sentences", "n_removed", "kept_sha256", "text"])
 
     return run
 
 
 def span_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", several: int = SEVERAL, long: int = LONG) -> DataFrame:
-    """Remove sentences that any repeated span covers, but in the span's first place (least id, then position).
+    """Remove the words that any repeated span covers, but in the span's first place (least id, then position).
 
-    A sentence ends at a word that ends in . ! ? or at a line break. A span begins at each sentence and takes in following ones
-    of the same document until it has two sentences and `several` words, or `long` words. Spans are equal if their words are
-    (A-Z lower-cased, white space aside); they are compared by 64-bit hashes. Returns id, n_sentences, n_removed, kept_sha256, text.
+    A sentence ends at a word that ends in . ! ? or at a line break; sentences are cut further into pieces of at most PIECE
+    words, at places that the words alone decide. A span is any two sentences in a row, a sentence of `long` words, or
+    pieces in a row up to `long` words, so every repeat of two whole sentences or of 50 words holds one. Longer runs of
+    sentences need no spans of their own: their pairs repeat with them. Spans are equal if their words are (A-Z lower-cased,
+    white space aside); they are compared by 64-bit hashes. Returns id, n_sentences, n_removed (sentences that lose
+    words), kept_sha256, text.
 
     Documents are dealt into groups, and each group sends a span once, however often it holds it; so a span of many
     documents costs a row for each group at most.
@@ -191,13 +259,13 @@ def span_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     groups = part_of(spark, count, GROUP_ROWS)
     group = F.pmod(F.xxhash64("_id"), F.lit(groups)).cast("int")
     dealt = rows.select(group.alias("_group"), "_id", "_tie", "_text").repartitionById(groups, F.col("_group"))
-    buckets = part_of(spark, count * 60, COMPARED)
+    buckets = part_of(spark, count * 140, COMPARED)
     sent = dealt.mapInArrow(_firsts(buckets, several, long), "bucket int, group int, h binary, ids binary, ties binary, at binary, again binary")
     told = keep(spark, sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_repeated, "_group int, h binary, ids binary, ties binary, at binary"))
     nothing = F.lit(None).cast("binary")
     documents = rows.select(group.alias("_group"), "_id", "_tie", "_text", F.lit(True).alias("_doc"), *(nothing.alias(c) for c in ("h", "ids", "ties", "at")))
     answers = told.select("_group", F.lit(None).cast(docs.schema[id_col].dataType).alias("_id"), F.lit(0).cast("long").alias("_tie"), F.lit("").alias("_text"), F.lit(False).alias("_doc"), "h", "ids", "ties", "at")
-    both = documents.unionByName(answers).repartitionById(groups, F.col("_group")).sortWithinPartitions("_doc")
+    both = documents.unionByName(answers).repartitionById(groups, F.col("_group")).sortWithinPartitions("_doc", "_id", "_tie")
     kind = docs.schema[id_col].dataType.simpleString()
     out = both.mapInArrow(_removed(several, long), f"_id {kind}, n_sentences long, n_removed long, kept_sha256 string, text string")
     return out.withColumnRenamed("_id", id_col)

@@ -271,3 +271,30 @@ def test_toxicity_held_out(spark):
 def test_learning_without_labels(spark):
     model = toxicity.learn_from(spark, documents(spark), spark.createDataFrame([], "doc_id long, toxic int"))
     assert all(r["predicted"] == 0 for r in toxicity.score_toxicity(documents(spark), model).collect())
+
+
+def test_span_dedup_of_short_runs_and_unpunctuated_passages(spark):
+    rng = np.random.default_rng(5)
+    own = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, n))
+    passage = [own(50) for _ in range(40)]  # no marks inside; where it lies in its sentence differs
+    rows = [(1, "Short one here. And two. First of its kind follows."), (2, "Short one here. And two. Another thing altogether.")]
+    rows += [(100 + 2 * n + k, f"{own(int(rng.integers(0, 40)))} {p} {own(int(rng.integers(0, 40)))}") for n, p in enumerate(passage) for k in range(2)]
+    halves = " ".join(f"h{x}" for x in range(25)) + ". " + " ".join(f"g{x}" for x in range(25))  # no whole sentence inside
+    rows += [(300, f"a b c {halves} d e f."), (301, f"k l m {halves} n o p.")]
+    rows += [(400, own(3000))]
+    got = {r["doc_id"]: r for r in span_dedup.span_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    assert got[1]["text"] == texts[1] and got[400]["text"] == texts[400] and got[400]["n_removed"] == 0
+    assert got[2]["text"] == "Another thing altogether." and got[2]["n_removed"] == 2
+    for i in (*range(100, 180, 2), 300):
+        assert got[i]["text"] == texts[i]
+        assert len(texts[i + 1].split()) - len(got[i + 1]["text"].split()) >= span_dedup.LONG and got[i + 1]["n_removed"] >= 1
+
+
+def test_ranks_of_ties_go_on_over_batches():
+    ids, ties = np.array([1, 1, 1, 2, 2, 5, 5, 5, 5]), np.array([3, 3, 8, 1, 1, -4, 0, 0, 9])
+    want = [0, 0, 1, 0, 0, 0, 1, 1, 2]
+    for cut in range(1, 9):
+        head = span_dedup._ranks(ids[:cut], ties[:cut])
+        tail = span_dedup._ranks(ids[cut:], ties[cut:], (ids[cut - 1], ties[cut - 1], head[-1]))
+        assert [*head, *tail] == want
