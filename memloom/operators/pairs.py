@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,3 +47,25 @@ def similar_pairs(rows: DataFrame, key: str, text: str, threshold: float) -> Dat
     norms = counts.groupBy("id").agg(F.sum(F.col("tf") * F.col("tf")).alias("n"))
     out = shared.join(norms.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(norms.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
     return out.withColumn("similarity", pair_cosine(F.col("dot"), F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"))).where(F.col("similarity") > threshold).select("a", "b", "similarity")
+
+
+def overlapping_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """Candidates a < b that hold every pair of rows (id, w: distinct words) whose word sets have a Jaccard likeness of at least
+    the threshold: such sets share a word among the rarest n - ceil(threshold * n) + 1 of either's n words."""
+    n = F.size("w")
+    ranked = sets.select("id", n.alias("n"), F.explode("w").alias("term"))
+    ranked = ranked.join(ranked.groupBy("term").agg(F.count("*").alias("df")), "term").where("df > 1 or n = 1")
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("df"), F.desc("term")))  # from the most frequent on
+    prefix = ranked.withColumn("_place", place).where(F.col("_place") >= F.ceil(F.lit(threshold) * F.col("n") - 1e-9)).select("id", "n", "term")
+    a, b = (prefix.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), "term") for k in "ab")
+    fits = F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9
+    return a.join(b, "term").where(F.col("a") < F.col("b")).where(fits).select("a", "b").distinct()
+
+
+def opposite_pairs(sets: DataFrame, opposites: Sequence[tuple[str, str]]) -> DataFrame:
+    """Pairs a < b of rows (id, w) of which one holds a word and the other its opposite."""
+    held = sets.select("id", F.explode("w").alias("term")).where(F.col("term").isin(sorted({x for p in opposites for x in p})))
+    others = {x: sorted({q for p, q in opposites if p == x} | {p for p, q in opposites if q == x}) for x in {x for p in opposites for x in p}}
+    other = F.create_map(*(v for x in sorted(others) for v in (F.lit(x), F.array(*map(F.lit, others[x])))))
+    asked = held.select(F.col("id").alias("a"), F.explode(other[F.col("term")]).alias("term"))
+    return asked.join(held.withColumnRenamed("id", "b"), "term").where("a < b").select("a", "b").distinct()

@@ -321,6 +321,30 @@ def x12(spark, sf):
     return p.withColumn("confidence", r6(c)).where("confidence is not null").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "confidence")
 
 
+def _related(spark, sf, more=()):
+    """Pairs of facts of the whole table that a rule may relate: a word likeness of 0.2, or words of opposite meaning."""
+    f = facts(spark, sf).select("id", "fact_type", "category", "is_superseded", F.array_distinct(words(F.col("content"))).alias("w"))
+    found = pairs.overlapping_pairs(f, 0.2)
+    found = found.union(pairs.opposite_pairs(f, more)).distinct() if more else found
+    side = lambda k: f.select(F.col("id").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("fact_type", "category", "is_superseded", "w")))
+    return found.join(side("a"), "a").join(side("b"), "b")
+
+
+@query("x11_contradictions_of_all_facts")
+def x11_all(spark, sf):
+    """No rule but that of opposites reaches 0.3 below a likeness of 0.2, so the candidates lose no pair."""
+    p = _related(spark, sf, fixed.OPPOSITES)
+    c = rules.contradiction(F.col("a_w"), F.col("b_w"), F.col("a_category") == F.col("b_category"), F.col("a_fact_type") == F.col("b_fact_type"), F.col("a_is_superseded") | F.col("b_is_superseded"))
+    return p.withColumn("confidence", r6(c)).where("confidence is not null").select("a", "b", "confidence")
+
+
+@query("x12_elaborations_of_all_facts")
+def x12_all(spark, sf):
+    p = _related(spark, sf)
+    c = rules.elaboration(F.col("a_w"), F.col("b_w"), F.col("a_category") == F.col("b_category"), F.col("a_fact_type") == F.col("b_fact_type"))
+    return p.withColumn("confidence", r6(c)).where("confidence is not null").select("a", "b", "confidence")
+
+
 @query("a03_link_kinds", with_views("SELECT kind, count(*) AS n, count(DISTINCT source) AS sources FROM links GROUP BY kind", LINKS))
 def a03(spark, sf):
     return links(spark, sf).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("source").alias("sources"))

@@ -109,3 +109,36 @@ def test_graph(spark):
     assert sorted(map(tuple, graph.neighbourhood(links, 1, 3).collect())) == [(1, 0), (2, 1), (3, 2)]
     assert graph.shortest_path(links, 1, 4).first()["path"] == [1, 2, 3, 4]
     assert {r["node"]: r["chain"] for r in graph.chains(spark, links).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8}
+
+
+def test_relations_of_all_facts_equal_every_pair(spark, tmp_path):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from memloom.functions import rules
+    from memloom.functions.text import words
+    from memloom.plans import QUERIES
+    from memloom.plans.views import facts
+
+    rnd, sf = random.Random(4), str(tmp_path)
+    said = ["happy", "sad", "not", "never", "good", "bad", *(f"word{i}" for i in range(60))]
+    rows = [(c, t, "user", " ".join(rnd.sample(said, rnd.randint(0, 14)))) for c in range(60) for t in range(3)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{sf}/conversations.parquet")
+    f = facts(spark, sf).withColumn("w", F.array_distinct(words(F.col("content"))))
+    a, b = (f.select(*(F.col(c).alias(f"{k}_{c}") for c in ("id", "fact_type", "category", "is_superseded", "source_episode", "w"))) for k in "ab")
+    p = a.crossJoin(b).where("a_id < b_id")
+    topic, kind, old = F.col("a_category") == F.col("b_category"), F.col("a_fact_type") == F.col("b_fact_type"), F.col("a_is_superseded") | F.col("b_is_superseded")
+    far = 0
+    for name, c in (("x11_contradictions_of_all_facts", rules.contradiction(F.col("a_w"), F.col("b_w"), topic, kind, old)), ("x12_elaborations_of_all_facts", rules.elaboration(F.col("a_w"), F.col("b_w"), topic, kind))):
+        want = {(r["a_id"], r["b_id"]): (round(r["c"], 5), r["far"]) for r in p.withColumn("c", c).where("c is not null").select("a_id", "b_id", "c", F.expr("a_source_episode <> b_source_episode").alias("far")).collect()}
+        assert {(r["a"], r["b"]): round(r["confidence"], 5) for r in QUERIES[name](spark, sf).collect()} == {k: v[0] for k, v in want.items()}
+        far += sum(v[1] for v in want.values())
+    assert far > 0
+
+
+def test_opposite_words_pair_without_other_likeness(spark):
+    from memloom.operators import pairs
+
+    sets = spark.createDataFrame([(1, ["happy", "x"]), (2, ["sad", "y"]), (3, ["unhappy"]), (4, ["z"])], "id long, w array<string>")
+    assert {tuple(r) for r in pairs.opposite_pairs(sets, [("happy", "sad"), ("happy", "unhappy")]).collect()} == {(1, 2), (1, 3)}
