@@ -298,3 +298,22 @@ def test_ranks_of_ties_go_on_over_batches():
         head = span_dedup._ranks(ids[:cut], ties[:cut])
         tail = span_dedup._ranks(ids[cut:], ties[cut:], (ids[cut - 1], ties[cut - 1], head[-1]))
         assert [*head, *tail] == want
+
+
+def test_fingerprints_hold_all_anchors_with_places(spark):
+    rng = np.random.default_rng(8)
+    own = lambda n: " ".join(f"é{x}" for x in rng.integers(0, 1 << 40, n))
+    passage = own(20)
+    df = spark.createDataFrame([(1, f"{own(400)} {passage} {own(300)}"), (2, f"{own(100)} {passage} {own(900)}"), (3, "")], "doc_id long, text string")
+    texts = {r["doc_id"]: r["text"].encode() for r in df.collect()}
+    got = {r["doc_id"]: r for r in fingerprints.edited_fingerprints(spark, df).collect()}
+    sets, inside = {}, {}
+    for i, text in texts.items():
+        at, h = fingerprints.syncmers(np.frombuffer(text, np.uint8))
+        assert got[i]["places"] == at.tolist() and got[i]["fingerprint"] == "".join(f"{x:08x}" for x in h.tolist())
+        begin = text.find(passage.encode())
+        sets[i], inside[i] = set(h.tolist()), [(p - begin, x) for p, x in zip(at.tolist(), h.tolist()) if begin <= p <= begin + len(passage.encode()) - fingerprints.K]
+    assert inside[1] == inside[2] and len(inside[1]) > 20
+    assert got[2]["near_next"] == pytest.approx(len(sets[1] & sets[2]) / len(sets[1] | sets[2])) and got[2]["near_next"] > 0
+    plain = {r["doc_id"]: r for r in fingerprints.fingerprint(df, places_col="places").collect()}
+    assert all(plain[i]["places"] == got[i]["places"] and plain[i]["fingerprint"] == got[i]["fingerprint"] for i in texts)
