@@ -31,7 +31,7 @@ PATTERNS: tuple[Pattern, ...] = (
     Pattern(r"/checkout/", ("checkout",)),
     Pattern(r"://ads?\.", ("ad",)),
     Pattern(r"://ads\.", ("ads",)),
-    Pattern(r"/wp-login\.php", ("wp", "login", "php")),
+    Pattern(r"/wp-login\.php", ("wp", "login")),  # php may go on, as in php5
     Pattern(r"[?&]page=[0-9]{3,}(&|#|$)", ("page",)),
 )
 #: The most rules: they are a parameter of the job, sent with the plan; more need a table of their own.

@@ -107,3 +107,11 @@ def test_urls(spark):
 
 def test_kept_hash_is_of_utf8():
     assert hashlib.sha256("é".encode()).hexdigest() == hashlib.sha256(b"\xc3\xa9").hexdigest()
+
+
+def test_url_pattern_matches_whichever_token_is_rarest(spark):
+    from memloom.llm.url_filters import url_filter
+
+    urls = [(1, "http://a.b/wp-login.php5"), (2, "http://a.b/wp"), (3, "http://a.b/login"), (4, "http://a.b/wp-login.php")]
+    got = {r["page_id"]: r["verdict"] for r in url_filter(spark.createDataFrame(urls, "page_id long, url string")).collect()}
+    assert got == {1: "block", 2: "allow", 3: "allow", 4: "block"}
