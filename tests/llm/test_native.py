@@ -10,7 +10,7 @@ from memloom.llm import ORACLE_SQL, QUERIES
 from memloom.llm.line_dedup import line_dedup
 from memloom.llm.mixing import mix_sources
 from memloom.llm.secret_scan import scan_secrets, trigram_query
-from memloom.llm.url_filters import url_filter
+from memloom.llm.url_filters import PATTERNS, Pattern, mandatory_tokens, url_filter
 
 from .cases import LINE, documents, low
 
@@ -110,8 +110,59 @@ def test_kept_hash_is_of_utf8():
 
 
 def test_url_pattern_matches_whichever_token_is_rarest(spark):
-    from memloom.llm.url_filters import url_filter
-
-    urls = [(1, "http://a.b/wp-login.php5"), (2, "http://a.b/wp"), (3, "http://a.b/login"), (4, "http://a.b/wp-login.php")]
+    urls = [(1, "http://a.b/wp-login.php"), (2, "http://a.b/wp"), (3, "http://a.b/login"), (4, "http://a.b/checkout/"), (5, "http://ads.b/x"), (6, "http://a.b/x?page=1000"), (7, "http://a.b/x?page=10")]
     got = {r["page_id"]: r["verdict"] for r in url_filter(spark.createDataFrame(urls, "page_id long, url string")).collect()}
-    assert got == {1: "block", 2: "allow", 3: "allow", 4: "block"}
+    assert got == {1: "block", 2: "allow", 3: "allow", 4: "block", 5: "block", 6: "block", 7: "allow"}
+    one = spark.createDataFrame(urls, "page_id long, url string")
+    for regex, hits in ((r"/(cart|checkout)/", {4}), (r"://ads?\.", {5}), (r"log", {1, 3}), (r"page=[0-9]{3,}(&|#|$)", {6})):
+        assert {r["page_id"] for r in url_filter(one, patterns=[Pattern(regex)]).where("verdict = 'block'").collect()} == hits
+
+
+def test_mandatory_tokens_are_held_by_every_match():
+    import random
+    import re
+
+    random.seed(4)
+    regexes = [p.regex for p in PATTERNS] + [r"a+b", r"\bfoo\b", r"/x(foo|bar)+/y/", r"(foo/)+a", r"[^a-z]foo\d+/", r"/foo.*?/ba?r/", r"^https?://www[.]", r"(?i)/FOO/", r"/[ab]c?/", r"é/x/"]
+    pieces = sorted({t for r in regexes for a in mandatory_tokens(r) for t in a} | {"x", "y", "fo", "bar", "foo", "aab", "1", "12345", "b", "r"})
+    urls = []
+    for _ in range(20_000):
+        urls.append("".join(random.choice(pieces) + random.choice("/.?&=-_#:12a") for _ in range(random.randint(1, 6))))
+    urls = ["http://" + u for u in urls] + ["https://www." + u for u in urls[:200]] + ["/" + u for u in urls]
+    matched = 0
+    for regex in regexes:
+        alternatives = mandatory_tokens(regex)
+        for url in urls:
+            if re.search(regex, url):
+                matched += 1
+                held = set(re.findall("[a-z0-9]+", url))
+                assert any(a <= held for a in alternatives), (regex, url)
+    assert matched > 2000
+
+
+def test_ten_thousand_url_rules(spark):
+    hosts = [(f"site{i}.com/", "block" if i % 2 else "allow") for i in range(10_000)]
+    patterns = [Pattern(f"/bad{i}/") for i in range(10_000)]
+    urls = ["http://www.site7.com/a", "http://site8.com/bad3/", "http://other.com/bad9999/x", "http://other.com/bad10000/x", "http://other.com/" + "x/" * 50_000 + "bad5/", None, None]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["pattern"], r["verdict"]) for r in url_filter(df, host_rules=hosts, patterns=patterns).collect()}
+    assert got == {0: ("site7.com/", None, "block"), 1: ("site8.com/", 3, "allow"), 2: (None, 9999, "block"), 3: (None, None, "allow"), 4: (None, 5, "block"), 5: (None, None, "allow"), 6: (None, None, "allow")}
+
+
+def test_line_dedup_of_many_lines_is_linear(spark):
+    import time
+
+    seconds = []
+    for n in (20_000, 20_000, 80_000):
+        text = "\n".join(f"line number {i} that is long enough to count" for i in range(n))
+        df = spark.createDataFrame([(k, text) for k in range(3)], "doc_id long, text string")
+        began = time.time()
+        assert {(r["doc_id"], r["n_dropped"]) for r in line_dedup(df).select("doc_id", "n_dropped").collect()} == {(0, n), (1, n), (2, 0)}
+        seconds.append(time.time() - began)
+    assert seconds[2] < 10 * max(1.0, seconds[1])
+
+
+def test_mix_without_ids(spark):
+    df = spark.createDataFrame([(None, f"word {i} " * (i % 5), "en", "s") for i in range(500)], "doc_id long, text string, lang string, source string")
+    out = mix_sources(spark, df).collect()
+    assert len(out) == 500 and abs(sum(r["taken"] for r in out) - sum(r["size"] for r in out)) <= 20
