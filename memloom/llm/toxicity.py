@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,12 +15,13 @@ from pyspark.sql.window import Window
 from memloom.llm import textvec
 from memloom.llm.common import table
 
-#: Labelled documents that are learned from, at most so many and with so many bytes of each label; buckets of hashed features.
-LEARN_EACH, LEARN_BYTES, BUCKETS = 1_500, 6 << 20, 1 << 18
+#: Labelled documents that are learned from, at most so many and with so many bytes of each label, none with more bytes than
+#: LEARN_TEXT; buckets of hashed features. Longer labelled texts are scored like any other.
+LEARN_EACH, LEARN_BYTES, LEARN_TEXT, BUCKETS = 1_500, 6 << 20, 64 << 10, 1 << 18
 #: Byte lengths of the beginnings and endings of a token that are features beside the whole token.
 HEADS, TAILS = (3, 4, 5, 6), (4, 5)
 ROUNDS, RATE, DECAY, SEGMENT = 40, 0.5, 1e-4, 128
-REJECT = 0.7
+REJECT, FAINT = 0.7, 0.02
 
 _GAP = np.zeros(256, bool)
 _GAP[[*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
@@ -127,7 +129,9 @@ def chain(score: np.ndarray, first: np.ndarray, steps: np.ndarray) -> tuple[np.n
 
 
 def _doc_inputs(p: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """What a document's score is made of: 1, the log odds that some token is toxic, the log of the expected number of them."""
+    """What a document's score is made of: 1, the log odds that some token is toxic, the log of the expected number of them.
+    Marginals below FAINT count as 0, so that a text isn't toxic for its length."""
+    p = np.where(p < FAINT, 0.0, p)
     total = np.concatenate([[0.0], np.cumsum(np.log1p(-np.minimum(p, 1 - 1e-9)))])
     none = np.minimum(total[first[1:]] - total[first[:-1]], -1e-6)
     some = np.log(-np.expm1(none)) - none
@@ -227,22 +231,33 @@ def learn(texts: pa.Array, toxic: np.ndarray, base_rate: float) -> Model:
 
 
 def held_out(id_col: str) -> Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
+    """A third of the ids by their checksum; a null id is not held out (and never learned from)."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def learn_from(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", each: int = LEARN_EACH) -> Model:
-    """Learn from at most `each` documents of either label, chosen by a hash of the id among rows that aren't held out."""
+    """Learn from at most `each` documents of either label, chosen by a hash of the id among rows that aren't held out.
+
+    Texts of more than LEARN_TEXT bytes are passed over, so they don't use up the bytes of the others. Warns if a label has
+    rows but none to learn from; without both labels the model gives every text the base rate."""
     rows = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").where(~held_out("_id")).groupBy("_id").agg(F.max("_y").alias("_y"))
     counts = {r["_y"]: r["count"] for r in rows.groupBy("_y").count().collect()}
     total = sum(counts.values())
     base = min(0.99, max(0.01, counts.get(1, 0) / total)) if total else 0.5
     order = F.xxhash64("_id", F.lit("learn"))
-    chosen = rows.where("_y = 1").orderBy(order, "_id").limit(each).unionByName(rows.where("_y = 0").orderBy(order, "_id").limit(each))
+    sized = docs.select(F.col(id_col).alias("_id"), F.octet_length(text_col).alias("_size")).where(F.col("_size") <= LEARN_TEXT)
+    fit = rows.join(sized, "_id").groupBy("_id", "_y").agg(F.sum("_size").alias("_size"))
+    chosen = fit.where("_y = 1").orderBy(order, "_id").limit(each).unionByName(fit.where("_y = 0").orderBy(order, "_id").limit(each))
+    summed = F.sum("_size").over(Window.partitionBy("_y").orderBy(order, "_id").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = chosen.withColumn("_sum", summed).where(F.col("_sum") <= LEARN_BYTES).select("_id", "_y")
     picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")  # at most 2 * each rows
-    size = F.sum(F.octet_length("_text")).over(Window.partitionBy("_y").orderBy(order, "_id", "_text").rowsBetween(Window.unboundedPreceding, 0))
-    picked = picked.where("_text is not null").withColumn("_size", size).where(F.col("_size") <= LEARN_BYTES)
+    picked = picked.where(F.octet_length("_text") <= LEARN_TEXT).dropDuplicates(["_id", "_text"])
     sample = picked.select("_id", "_text", "_y").toArrow().sort_by([("_id", "ascending"), ("_text", "ascending")])
-    return learn(sample.column("_text"), sample.column("_y").to_numpy().astype(np.int64), base)
+    toxic = sample.column("_y").to_numpy().astype(np.int64)
+    for y in counts:
+        if y not in toxic:
+            warnings.warn(f"no text to learn label {y} from, of {counts[y]} rows", stacklevel=2)
+    return learn(sample.column("_text"), toxic, base)
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
