@@ -19,11 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of our own serves local
+    runs; on a cluster each machine would write to its own disk there, so that is an error."""
     jsc = spark.sparkContext._jsc.sc()
     if not jsc.getCheckpointDir().isDefined():
-        set_to = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="memloom-")
-        spark.sparkContext.setCheckpointDir(set_to)
+        set_to = spark.conf.get("spark.checkpoint.dir", None)
+        if not set_to and not jsc.isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(set_to or tempfile.mkdtemp(prefix="memloom-"))
     return jsc.getCheckpointDir().get()
 
 
