@@ -21,16 +21,25 @@ RANGE = 20_000
 _LEAST = -(1 << 63)
 
 
+def _inner(buf: np.ndarray, s: int) -> np.ndarray:
+    inner = np.zeros(max(0, len(buf) - s + 1), np.uint64)
+    for i in range(s):
+        inner |= buf[i : i + len(inner)].astype(np.uint64) << np.uint64(8 * i)
+    return inner * np.uint64(0x9E3779B97F4A7C15)
+
+
+def inner_order(buf: np.ndarray, s: int = S) -> np.ndarray:
+    """The order of the substrings of s bytes: a hash of each."""
+    inner = _inner(buf, s)
+    return ((inner ^ (inner >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32)
+
+
 def syncmers(buf: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of the closed syncmers of the bytes. Whether a k-mer is chosen depends on its own bytes alone."""
     n = len(buf) - k + 1
     if n < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.uint32)
-    inner = np.zeros(len(buf) - s + 1, np.uint64)
-    for i in range(s):
-        inner |= buf[i : i + len(inner)].astype(np.uint64) << np.uint64(8 * i)
-    inner *= np.uint64(0x9E3779B97F4A7C15)
-    order = ((inner ^ (inner >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32)
+    inner, order = _inner(buf, s), inner_order(buf, s)
     w, least, width = k - s + 1, order, 1
     while width < w:  # least of w in a row, from overlapping halves
         step = min(width, w - width)
