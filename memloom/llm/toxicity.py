@@ -17,10 +17,12 @@ from memloom.llm.common import table
 
 #: Labelled documents that are learned from, at most so many and with so many bytes of each label, none with more bytes than
 #: LEARN_TEXT; buckets of hashed features. Longer labelled texts are scored like any other.
-LEARN_EACH, LEARN_BYTES, LEARN_TEXT, BUCKETS = 1_500, 6 << 20, 64 << 10, 1 << 18
+LEARN_EACH, LEARN_BYTES, LEARN_TEXT, BUCKETS = 1_500, 4 << 20, 64 << 10, 1 << 18
 #: Byte lengths of the beginnings and endings of a token that are features beside the whole token.
 HEADS, TAILS = (3, 4, 5, 6), (4, 5)
 ROUNDS, RATE, DECAY, SEGMENT = 40, 0.5, 1e-4, 128
+#: Tokens whose marginals are computed at once, but for a longer document's.
+AT_ONCE = 200_000
 REJECT, FAINT = 0.7, 0.02
 
 _GAP = np.zeros(256, bool)
@@ -71,6 +73,10 @@ def chain(score: np.ndarray, first: np.ndarray, steps: np.ndarray) -> tuple[np.n
     """Forward-backward over all documents at once. Returns the marginal of T for each token, and the forward and backward
     ratios T : O. A step maps a ratio r to (a r + b) / (c r + d); documents are cut into segments whose maps are composed,
     the ratios at the cuts are carried along each document, and the segments are then filled in side by side."""
+    half = int(np.searchsorted(first, len(score) // 2)) if len(score) > AT_ONCE else 0
+    if 0 < half < len(first) - 1:  # documents don't depend on each other: less memory at a time
+        parts = chain(score[: first[half]], first[: half + 1], steps), chain(score[first[half] :], first[half:] - first[half], steps)
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     n = np.diff(first)
     pieces = -(-n // SEGMENT)
     s = int(pieces.sum())
