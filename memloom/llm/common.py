@@ -13,6 +13,9 @@ SPACES = " \t\n\x0b\f\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Bits of the filter on wanted ids: 16 MiB at most.
+FILTER_BITS = 1 << 27
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -44,6 +47,17 @@ def forget(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def only_wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose _id is among ids, and a few more, so that other texts aren't shuffled: a bitmap of hashed ids,
+    16 bits for each and FILTER_BITS at most, goes to all tasks as words of 64 bits. Beyond that size it only filters less."""
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * ids.count()).bit_length()))
+    place = F.pmod(F.xxhash64("_id", F.lit("wanted")), F.lit(bits))
+    marks = ids.select(F.shiftright(place, 6).alias("_at"), (place % 64).cast("int").alias("_bit"))
+    words = marks.groupBy("_at").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_mask"))
+    spread = docs.withColumn("_at", F.shiftright(place, 6)).withColumn("_bit", (place % 64).cast("int"))
+    return spread.join(F.broadcast(words), "_at").where(F.expr("(_mask & shiftleft(1L, _bit)) <> 0")).select(*docs.columns)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from memloom.llm.common import forget, keep
 
 
-#: Links that one task contracts at once.
-CONTRACTED = 500_000
+#: Links that one task contracts at once; tasks that the links of one node are spread over.
+CONTRACTED, SALTS = 500_000, 16
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,32 +44,44 @@ def _state(links: DataFrame) -> tuple:
     return row["n"], row["s"]
 
 
+def _stars(spark: SparkSession, links: DataFrame) -> DataFrame:
+    """A large-star and a small-star step over links (a, b), a > b.
+
+    Large star: what is linked to b from above is linked to b's least neighbour instead. That is b itself unless b has lesser
+    ones, so only such inner nodes meet the links, and on SALTS tasks each, as any number of links may lead to one node.
+    Small star: a node and its lesser neighbours are linked to the least of them; a node has few of those.
+    """
+    least = links.groupBy("a").agg(F.min("b").alias("m"))
+    inner = least.join(links.select(F.col("b").alias("a")).distinct(), "a").select(F.col("a").alias("b"), "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salted = links.withColumn("_salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
+    large = keep(spark, salted.join(inner, ["b", "_salt"], "left").select("a", F.coalesce("m", "b").alias("b")).distinct())
+    least = large.groupBy("a").agg(F.min("b").alias("m"))
+    met = large.join(least, "a")
+    out = keep(spark, met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+    for done in (links, large):
+        forget(spark, done)
+    return out
+
+
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """Links (a, b), longs, in any direction and number, to (node, component): the least node that each can reach. Nodes
     without a link to another don't occur.
 
     First each of a few partitions, in number by the links, contracts its links to a forest, so that what is left grows with
-    the nodes and not with the links. Then alternates large-star and small-star steps until nothing changes; the rounds grow with the logarithm of the longest
-    path. Each step pre-aggregates a least neighbour for each node and joins it to the links; no node's links are gathered
-    into one row. Each round is written to the shared folder.
+    the nodes and not with the links; links are dealt by both ends, so a node of many links is spread. Then alternates
+    large-star and small-star steps until nothing changes; the rounds grow with the logarithm of the longest path. No node's
+    links are gathered into one row. Each round is written to the shared folder.
     """
     now = keep(spark, links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    for key in ("b", "a"):
+    for key in (("a", "b"), ("a",)):  # after the first, a node has one lesser neighbour for each partition at most
         width = max(4, _state(now)[0] // CONTRACTED + 1)
-        following = keep(spark, now.repartition(width, key).mapInArrow(_forest, "a long, b long").distinct())
+        following = keep(spark, now.repartition(width, *key).mapInArrow(_forest, "a long, b long").distinct())
         forget(spark, now)
         now = following
     seen = _state(now)
     while seen[0]:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        met = large.join(least, "a")
-        small = met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        following = keep(spark, small)
-        forget(spark, now)
-        now, before, seen = following, seen, _state(following)
+        before, now = seen, _stars(spark, now)
+        seen = _state(now)
         if seen == before:
             break
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
