@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from memloom.llm import textvec
 from memloom.llm.common import keep, part_of, table
 
-#: Spans: two sentences of SEVERAL words or more, whatever else they are part of, and cuts of LONG words or more.
-SEVERAL, LONG = 1, 26
+#: Spans: sentences in a row, two at least, of SEVERAL words or more together; and pieces in a row of LONG words or more.
+SEVERAL, LONG = 20, 26
 #: Of this many words of a sentence in a row, the one of least hash begins a new piece. A passage of 3 * PIECE + LONG words
 #: (50) holds a whole span of pieces wherever its sentences begin, as its pieces depend on its own words but at the edges.
 PIECE = 8
-#: Documents that one task holds; spans that one task compares.
-GROUP_ROWS, COMPARED = 8_000, 4_000_000
+#: Documents that one task holds, and their bytes; spans that one task compares.
+GROUP_ROWS, GROUP_BYTES, COMPARED = 8_000, 24 << 20, 4_000_000
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
 _LEAST = -(1 << 63)
@@ -65,26 +65,36 @@ def _slide(v: np.ndarray, size: int, of: np.ufunc) -> np.ndarray:
     return v
 
 
-def spans(w: textvec.Words, first: np.ndarray, docs: np.ndarray, several: int, long: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans: first word, one past the last, and a hash of the words. Every two sentences of `several` words together; every
-    sentence of `long` words; and from every piece on, as many as have `long` words."""
-    ends = w.first[1:]
-    own = lambda a, b: b <= ends[np.searchsorted(w.first, a, "right") - 1]  # noqa: E731  whether a span lies in one document
+def _runs(first: np.ndarray, several: int) -> tuple[np.ndarray, np.ndarray]:
+    """From each sentence on, and up to each, the fewest sentences that are two and have `several` words: the first word of each
+    run and one past the last. A repeat of whole sentences that are long enough together is covered from end to end."""
+    n = len(first) - 1
+    place = np.arange(n)
+    stop = np.maximum(np.searchsorted(first, first[:-1] + several), place + 2)
+    start = np.minimum(np.searchsorted(first, first[1:] - several, "right") - 1, place - 1)
+    on, back = stop <= n, start >= 0
+    return np.append(first[:-1][on], first[start[back]]), np.append(first[stop[on]], first[1:][back])
+
+
+def spans(w: textvec.Words, first: np.ndarray, docs: np.ndarray, several: int, long: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spans: first word, one past the last, and two hashes of the words (64 and 32 bits). Runs of several sentences; and from
+    every piece on, as many as have `long` words, which find what lies within one or two long sentences."""
+    own = lambda a, b: b <= w.first[1:][np.searchsorted(w.first, a, "right") - 1]  # noqa: E731  whether a span lies in one document
     cut = pieces(w, first)
     at = np.searchsorted(cut, cut[:-1] + long)
-    begin = cut[:-1][at < len(cut)]
-    stop = cut[at[at < len(cut)]]
-    single = first[1:] - first[:-1] >= long
-    a = np.concatenate([first[:-2], first[:-1][single], begin])
-    b = np.concatenate([first[2:], first[1:][single], stop])
-    pair = np.arange(len(a)) < len(first[:-2])
-    ok = own(a, b) & (~pair | (b - a >= several))
+    a, b = _runs(first, several)
+    a, b = np.append(a, cut[:-1][at < len(cut)]), np.append(b, cut[at[at < len(cut)]])
+    ok = own(a, b)
     places = np.unique(a[ok] << 32 | b[ok] - a[ok])
     a = places >> 32
     b = a + (places & 0xFFFFFFFF)
     up, down = textvec._powers(len(w.hashes) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.hashes * up[: len(w.hashes)])])
-    return a, b, textvec.mix((total[b] - total[a]) * down[a] ^ (b - a).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+
+    def hashed(words: np.ndarray) -> np.ndarray:
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)])])
+        return textvec.mix((total[b] - total[a]) * down[a] ^ (b - a).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+
+    return a, b, hashed(w.hashes), (hashed(textvec.mix(w.hashes ^ np.uint64(0x5851F42D4C957F2D))) >> np.uint64(32)).astype(np.uint32)
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -125,28 +135,28 @@ def _firsts(buckets: int, several: int, long: int):
             buf, offsets = textvec.raw(batch.column(3))
             for x, y in textvec.slices(buf, offsets):
                 w, first, docs = sentences(buf[offsets[x] : offsets[y]], offsets[x : y + 1])
-                a, _, h = spans(w, first, docs, several, long)
+                a, _, h, g = spans(w, first, docs, several, long)
                 d = np.searchsorted(w.first, a, "right") - 1
-                parts.append([h, ids[x:y][d], ties[x:y][d], a - w.first[d]])
+                parts.append([h, g, ids[x:y][d], ties[x:y][d], a - w.first[d]])
         if not parts:
             return
-        h, ids, ties, at = (np.concatenate(p) for p in zip(*parts, strict=True))
+        h, g, ids, ties, at = (np.concatenate(p) for p in zip(*parts, strict=True))
         order = np.lexsort((ties, ids))
         ties[order] = _ranks(ids[order], ties[order])
-        order = np.lexsort((at, ties, ids, h))
-        h, ids, ties, at = h[order], ids[order], ties[order], at[order]
+        order = np.lexsort((at, ties, ids, g, h))
+        h, g, ids, ties, at = (c[order] for c in (h, g, ids, ties, at))
         new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
+        new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
         starts = np.flatnonzero(new)
         last = np.append(starts[1:], len(h)) - 1
         again = (ids[last] != ids[starts]) | (ties[last] != ties[starts]) | (at[last] != at[starts])
-        h, ids, ties, at = h[starts], ids[starts], ties[starts], at[starts]
+        h, g, ids, ties, at = (c[starts] for c in (h, g, ids, ties, at))
         bucket = (h % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((at, ties, ids, bucket))
         cut = np.flatnonzero(np.diff(bucket[order], prepend=-1))
         ends = np.append(cut[1:], len(order))[: len(cut)]
-        cols = [[_packed(np.diff(c[order[a:b]], prepend=np.int64(0)) if c is ids else c[order[a:b]]) for a, b in zip(cut, ends, strict=True)] for c in (h, ids, ties, at, again.astype(np.uint8))]
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[order][cut].astype(np.int32)), pa.array(np.full(len(cut), group, np.int32)), *(pa.array(c, pa.binary()) for c in cols)], names=["bucket", "group", "h", "ids", "ties", "at", "again"])
+        cols = [[_packed(np.diff(c[order[a:b]], prepend=np.int64(0)) if c is ids else c[order[a:b]]) for a, b in zip(cut, ends, strict=True)] for c in (h, g, ids, ties, at, again.astype(np.uint8))]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[order][cut].astype(np.int32)), pa.array(np.full(len(cut), group, np.int32)), *(pa.array(c, pa.binary()) for c in cols)], names=["bucket", "group", "h", "g", "ids", "ties", "at", "again"])
 
     return run
 
@@ -154,50 +164,64 @@ def _firsts(buckets: int, several: int, long: int):
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of one bucket: spans that occur more than once, sent to each group that is to remove them; with the first place over
     all groups for the group that holds it, else with place -1."""
-    groups, parts = [], [[], [], [], [], []]
+    groups, parts = [], [[], [], [], [], [], []]
     for batch in batches:
         for row in range(len(batch)):
-            blobs = [batch.column(c)[row].as_py() for c in range(2, 7)]
+            blobs = [batch.column(c)[row].as_py() for c in range(2, 8)]
             groups.append(np.full(len(blobs[0]) // 8, batch.column(1)[row].as_py(), np.int32))
-            for p, b, t in zip(parts, blobs, (np.uint64, np.int64, np.int64, np.int64, np.uint8), strict=True):
-                p.append(np.cumsum(_unpacked(b, t)) if p is parts[1] else _unpacked(b, t))
+            for p, b, t in zip(parts, blobs, (np.uint64, np.uint32, np.int64, np.int64, np.int64, np.uint8), strict=True):
+                p.append(np.cumsum(_unpacked(b, t)) if p is parts[2] else _unpacked(b, t))
     if not groups:
         return
     group = np.concatenate(groups)
-    h, ids, ties, at, again = (np.concatenate(p) for p in parts)
-    order = np.lexsort((at, ties, ids, h))
-    h, ids, ties, at, again, group = h[order], ids[order], ties[order], at[order], again[order], group[order]
-    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    h, g, ids, ties, at, again = (np.concatenate(p) for p in parts)
+    order = np.lexsort((at, ties, ids, g, h))
+    h, g, ids, ties, at, again, group = (c[order] for c in (h, g, ids, ties, at, again, group))
+    starts = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])]))
     n = np.diff(np.append(starts, len(h)))
     own = np.zeros(len(h), bool)
     own[starts] = True
     more = ~own | (again > 0)  # the first place's group has nothing to remove unless it holds the span again
-    h, group = h[more], group[more]
+    h, g, group = h[more], g[more], group[more]
     ids, ties, at = (np.where(own, c, none)[more] for c, none in ((ids, 0), (ties, 0), (at, -1)))
     order = np.argsort(group, kind="stable")
     cut = np.flatnonzero(np.diff(group[order], prepend=-1))
     ends = np.append(cut[1:], len(order))[: len(cut)]
-    cols = [[_packed(c[order[a:b]]) for a, b in zip(cut, ends, strict=True)] for c in (h, ids, ties, at)]
-    yield pa.RecordBatch.from_arrays([pa.array(group[order][cut]), *(pa.array(c, pa.binary()) for c in cols)], names=["_group", "h", "ids", "ties", "at"])
+    cols = [[_packed(c[order[a:b]]) for a, b in zip(cut, ends, strict=True)] for c in (h, g, ids, ties, at)]
+    yield pa.RecordBatch.from_arrays([pa.array(group[order][cut]), *(pa.array(c, pa.binary()) for c in cols)], names=["_group", "h", "g", "ids", "ties", "at"])
+
+
+def _found(known: np.ndarray, also: np.ndarray, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each (h, g) is among the pairs (known, also), which are in order, and where."""
+    place = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+    if not len(known):
+        return np.zeros(len(h), bool), place
+    while True:
+        hit = (known[place] == h) & (also[place] == g)
+        on = np.flatnonzero(~hit & (place + 1 < len(known)))
+        on = on[known[place[on] + 1] == h[on]]  # the same first hash of other words, hardly ever
+        if not len(on):
+            return hit, place
+        place[on] += 1
 
 
 def _removed(several: int, long: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of one group: first the repeated spans, then its documents."""
-        told: list[list[bytes]] = [[], [], [], []]
+        told: list[list[bytes]] = [[], [], [], [], []]
         known: list[np.ndarray] | None = None
         before = None
         for batch in batches:
             kind = batch.column(4).to_numpy(zero_copy_only=False).astype(bool)
             for row in np.flatnonzero(~kind).tolist():
-                for p, c in zip(told, range(5, 9), strict=True):
+                for p, c in zip(told, range(5, 10), strict=True):
                     p.append(batch.column(c)[row].as_py())
             batch = batch.filter(pa.array(kind))
             if not len(batch):
                 continue
             if known is None:
-                known = [np.concatenate([np.zeros(0, t), *(_unpacked(b, t) for b in p)]) for p, t in zip(told, (np.uint64, np.int64, np.int64, np.int64), strict=True)]
-                order = np.argsort(known[0], kind="stable")
+                known = [np.concatenate([np.zeros(0, t), *(_unpacked(b, t) for b in p)]) for p, t in zip(told, (np.uint64, np.uint32, np.int64, np.int64, np.int64), strict=True)]
+                order = np.lexsort((known[1], known[0]))
                 known = [k[order] for k in known]
             ids, ties = _ids(batch.column(1)), batch.column(2).to_numpy()
             last, ties = ties[-1], _ranks(ids, ties, before)
@@ -206,12 +230,11 @@ def _removed(several: int, long: int):
             for x, y in textvec.slices(buf, offsets):
                 part = buf[offsets[x] : offsets[y]]
                 w, first, docs = sentences(part, offsets[x : y + 1])
-                a, b, h = spans(w, first, docs, several, long)
+                a, b, h, g = spans(w, first, docs, several, long)
                 d = np.searchsorted(w.first, a, "right") - 1
-                place = np.minimum(np.searchsorted(known[0], h), max(len(known[0]) - 1, 0))
-                hit = known[0][place] == h if len(known[0]) else np.zeros(len(h), bool)
+                hit, place = _found(known[0], known[1], h, g)
                 if len(known[0]):
-                    hit &= ~((known[1][place] == ids[x:y][d]) & (known[2][place] == ties[x:y][d]) & (known[3][place] == a - w.first[d]))
+                    hit &= ~((known[2][place] == ids[x:y][d]) & (known[3][place] == ties[x:y][d]) & (known[4][place] == a - w.first[d]))
                 cover = np.zeros(len(w.hashes) + 1, np.int64)
                 np.add.at(cover, a[hit], 1)
                 np.add.at(cover, b[hit], -1)
@@ -240,12 +263,14 @@ def _removed(several: int, long: int):
 def span_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", several: int = SEVERAL, long: int = LONG) -> DataFrame:
     """Remove the words that any repeated span covers, but in the span's first place (least id, then position).
 
-    A sentence ends at a word that ends in . ! ? or at a line break; sentences are cut further into pieces of at most PIECE
-    words, at places that the words alone decide. A span is any two sentences in a row, a sentence of `long` words, or
-    pieces in a row up to `long` words, so every repeat of two whole sentences or of 50 words holds one. Longer runs of
-    sentences need no spans of their own: their pairs repeat with them. Spans are equal if their words are (A-Z lower-cased,
-    white space aside); they are compared by 64-bit hashes. Returns id, n_sentences, n_removed (sentences that lose
-    words), kept_sha256, text.
+    A sentence ends at a word that ends in . ! ? or at a line break. A span is a run of two or more sentences, the shortest
+    of `several` words from each sentence on and up to each; longer runs repeat with the shortest ones in them. Beside them,
+    sentences are cut into pieces of at most PIECE words, at places that the words alone decide, and pieces in a row up to
+    `long` words are spans too: so a repeat of 50 words holds a span even where it lies within one or two long sentences.
+    Repeats that are shorter stay: short runs recur in documents that have nothing else in common.
+
+    Spans are equal if their words are (A-Z lower-cased, white space aside); they are compared by 96 hash bits. Returns id,
+    n_sentences, n_removed (sentences that lose words), kept_sha256, text.
 
     Documents are dealt into groups, and each group sends a span once, however often it holds it; so a span of many
     documents costs a row for each group at most.
@@ -255,16 +280,16 @@ def span_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     empty table; extra columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_tie"), F.coalesce(text_col, F.lit("")).alias("_text"))
-    count = rows.count()
-    groups = part_of(spark, count, GROUP_ROWS)
+    stats = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)).alias("bytes")).first()
+    groups = max(part_of(spark, stats["n"], GROUP_ROWS), part_of(spark, stats["bytes"], GROUP_BYTES))
     group = F.pmod(F.xxhash64("_id"), F.lit(groups)).cast("int")
     dealt = rows.select(group.alias("_group"), "_id", "_tie", "_text").repartitionById(groups, F.col("_group"))
-    buckets = part_of(spark, count * 140, COMPARED)
-    sent = dealt.mapInArrow(_firsts(buckets, several, long), "bucket int, group int, h binary, ids binary, ties binary, at binary, again binary")
-    told = keep(spark, sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_repeated, "_group int, h binary, ids binary, ties binary, at binary"))
+    buckets = part_of(spark, stats["bytes"] // 16, COMPARED)  # about a span for 16 bytes
+    sent = dealt.mapInArrow(_firsts(buckets, several, long), "bucket int, group int, h binary, g binary, ids binary, ties binary, at binary, again binary")
+    told = keep(spark, sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_repeated, "_group int, h binary, g binary, ids binary, ties binary, at binary"))
     nothing = F.lit(None).cast("binary")
-    documents = rows.select(group.alias("_group"), "_id", "_tie", "_text", F.lit(True).alias("_doc"), *(nothing.alias(c) for c in ("h", "ids", "ties", "at")))
-    answers = told.select("_group", F.lit(None).cast(docs.schema[id_col].dataType).alias("_id"), F.lit(0).cast("long").alias("_tie"), F.lit("").alias("_text"), F.lit(False).alias("_doc"), "h", "ids", "ties", "at")
+    documents = rows.select(group.alias("_group"), "_id", "_tie", "_text", F.lit(True).alias("_doc"), *(nothing.alias(c) for c in ("h", "g", "ids", "ties", "at")))
+    answers = told.select("_group", F.lit(None).cast(docs.schema[id_col].dataType).alias("_id"), F.lit(0).cast("long").alias("_tie"), F.lit("").alias("_text"), F.lit(False).alias("_doc"), "h", "g", "ids", "ties", "at")
     both = documents.unionByName(answers).repartitionById(groups, F.col("_group")).sortWithinPartitions("_doc", "_id", "_tie")
     kind = docs.schema[id_col].dataType.simpleString()
     out = both.mapInArrow(_removed(several, long), f"_id {kind}, n_sentences long, n_removed long, kept_sha256 string, text string")

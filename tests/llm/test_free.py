@@ -97,19 +97,21 @@ def test_cover_trees_against_brute_force(spark, monkeypatch, part):
     for c in range(12):
         center = rng.normal(size=16)
         rows += [(len(rows) + k, [float(x) for x in np.float32(center + rng.normal(size=16) * s)], c % 3) for k, s in enumerate(rng.choice([0.0, 0.05, 0.2, 0.25], 12))]
+    rows += [(800 + k, [1.0 + 0.01 * k, 2.0, 3.0 + 0.3 * k], 1) for k in range(4)]  # another length
     rows += [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] + [1.0] * 15, 1), (903, rows[0][1], None), (904, [float("inf")] * 16, 0), (905, rows[0][1], 0), (905, rows[0][1], 0), (906, [None] + [1.0] * 15, 1)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, n_links string")
     ok = [r for r in rows if r[2] is not None and r[1] is not None and None not in r[1] and np.isfinite(r[1]).all() and np.any(r[1])]
-    v = np.array([np.float32(r[1]) for r in ok], float)
+    v = np.array([np.pad(np.float32(r[1]), (0, 16 - len(r[1]))) for r in ok], float)
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    close = (v @ v.T >= 0.93) & (np.array([r[2] for r in ok])[:, None] == np.array([r[2] for r in ok])[None, :])
+    kind = np.array([100 * len(r[1]) + r[2] for r in ok])
+    close = (v @ v.T >= 0.93) & (kind[:, None] == kind[None, :])
     np.fill_diagonal(close, False)
     comp = components(range(len(ok)), [(int(a), int(b)) for a, b in np.argwhere(close)])
     least = {c: min(ok[n][0] for n in comp if comp[n] == c) for c in set(comp.values())}
     want = [(r[0], int(close[n].sum()), least[comp[n]], r[0] == least[comp[n]]) for n, r in enumerate(ok)] + [(r[0], 0, r[0], True) for r in rows if r not in ok]
     got = [(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in cover_tree.near_duplicates(spark, df).collect()]
     assert sorted(got) == sorted(want)
-    assert close.sum() > 100
+    assert close.sum() > 100 and close[-12:].any()
     assert cover_tree.near_duplicates(spark, df.limit(0)).count() == 0
 
 
@@ -201,14 +203,12 @@ def test_span_dedup_against_brute_force(spark):
                 current = []
         spans[i, text] = (sentences, [])
         for a in range(len(sentences)):
-            n = 0
-            for b in range(a, len(sentences)):
-                n += len(sentences[b])
-                if (n >= span_dedup.SEVERAL and b > a) or n >= span_dedup.LONG:
+            for b in range(a + 1, len(sentences)):
+                words = sum(map(len, sentences[a : b + 1]))
+                if words >= span_dedup.SEVERAL and (b == a + 1 or words - len(sentences[a]) < span_dedup.SEVERAL or words - len(sentences[b]) < span_dedup.SEVERAL):
                     key = tuple(low(m.group()) for s in sentences[a : b + 1] for m in s)
                     spans[i, text][1].append((a, b, key))
                     seen.setdefault(key, []).append((i, text, a))
-                    break
     got = {(r["doc_id"], r["text"], r["n_removed"]) for r in span_dedup.span_dedup(spark, df).collect()}
     want = set()
     for (i, text), (sentences, mine) in spans.items():
@@ -290,7 +290,8 @@ def test_span_dedup_of_short_runs_and_unpunctuated_passages(spark):
     rng = np.random.default_rng(5)
     own = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, n))
     passage = [own(50) for _ in range(40)]  # no marks inside; where it lies in its sentence differs
-    rows = [(1, "Short one here. And two. First of its kind follows."), (2, "Short one here. And two. Another thing altogether.")]
+    shared = f"{own(9)}. {own(6)}. {own(7)}. {own(2)}."  # 24 words in sentences of which no two suffice
+    rows = [(1, f"{shared} First of its kind follows."), (2, f"{shared} Another thing altogether."), (3, "One of few. Words. First."), (4, "One of few. Words. Other.")]
     rows += [(100 + 2 * n + k, f"{own(int(rng.integers(0, 40)))} {p} {own(int(rng.integers(0, 40)))}") for n, p in enumerate(passage) for k in range(2)]
     halves = " ".join(f"h{x}" for x in range(25)) + ". " + " ".join(f"g{x}" for x in range(25))  # no whole sentence inside
     rows += [(300, f"a b c {halves} d e f."), (301, f"k l m {halves} n o p.")]
@@ -298,12 +299,20 @@ def test_span_dedup_of_short_runs_and_unpunctuated_passages(spark):
     got = {r["doc_id"]: r for r in span_dedup.span_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     texts = dict(rows)
     assert got[1]["text"] == texts[1] and got[400]["text"] == texts[400] and got[400]["n_removed"] == 0
-    assert got[2]["text"] == "Another thing altogether." and got[2]["n_removed"] == 2
+    assert got[2]["text"] == "Another thing altogether." and got[2]["n_removed"] == 4
+    assert got[4]["text"] == texts[4]  # too short
     for i in (*range(100, 180, 2), 300):
         assert got[i]["text"] == texts[i]
         assert len(texts[i + 1].split()) - len(got[i + 1]["text"].split()) >= span_dedup.LONG and got[i + 1]["n_removed"] >= 1
 
 
+def test_spans_are_found_by_both_hashes():
+    known, also = np.array([3, 3, 3, 9], np.uint64), np.array([1, 5, 7, 2], np.uint32)
+    hit, at = span_dedup._found(known, also, np.array([3, 3, 3, 9, 9, 4], np.uint64), np.array([7, 1, 6, 2, 3, 1], np.uint32))
+    assert hit.tolist() == [True, True, False, True, False, False] and at[[0, 1, 3]].tolist() == [2, 0, 3]
+    assert span_dedup._found(known[:0], also[:0], known, also)[0].sum() == 0
+
+
 def test_ranks_of_ties_go_on_over_batches():
     ids, ties = np.array([1, 1, 1, 2, 2, 5, 5, 5, 5]), np.array([3, 3, 8, 1, 1, -4, 0, 0, 9])
     want = [0, 0, 1, 0, 0, 0, 1, 1, 2]
