@@ -67,17 +67,19 @@ def property_graph(episodes: DataFrame, facts: DataFrame, links: DataFrame) -> t
     return nodes, edges
 
 
-def chains(spark: SparkSession, links: DataFrame, rounds: int = 20) -> DataFrame:
-    """Least node that each node of the links reaches, by propagating the least label until nothing changes."""
+def chains(spark: SparkSession, links: DataFrame) -> DataFrame:
+    """Least node that each node of the links reaches. Each round takes the least label of a node's neighbours and then that
+    label's own label, so the rounds grow with the logarithm of the longest path; it ends when no label changes."""
     ensure_checkpoint_dir(spark)
-    edges = both_ways(links).select("source", "target").distinct()
+    edges = both_ways(links).select("source", "target").distinct().checkpoint()
     labels = edges.select(F.col("source").alias("node")).distinct().withColumn("chain", F.col("node"))
     before = None
-    for _ in range(rounds):
+    while True:
         spread = edges.join(labels.withColumnRenamed("node", "source"), "source").groupBy(F.col("target").alias("node")).agg(F.min("chain").alias("_near"))
-        labels = labels.join(spread, "node", "left").select("node", F.least("chain", F.coalesce("_near", "chain")).alias("chain")).checkpoint()
-        now = labels.agg(F.sum(F.col("chain").cast("decimal(38,0)"))).first()[0]
+        near = labels.join(spread, "node", "left").select("node", F.least("chain", F.coalesce("_near", "chain")).alias("chain"))
+        pointed = near.select(F.col("node").alias("chain"), F.col("chain").alias("_far"))
+        labels = near.join(pointed, "chain", "left").select("node", F.least("chain", F.coalesce("_far", "chain")).alias("chain")).checkpoint()
+        now = labels.agg(F.sum(F.col("chain").cast("decimal(38,0)"))).first()[0]  # labels only ever fall
         if now == before:
-            break
+            return labels
         before = now
-    return labels

@@ -60,16 +60,6 @@ def j08(spark, sf):
     return p.select(F.col("id").alias("a"), "b")
 
 
-@query("q04_service_hybrid", with_views("""SELECT coalesce(t.id, v.id) AS id, round(0.3 * coalesce(ts, 0) + 0.7 * coalesce(vs, 0), 6)::DOUBLE AS score FROM
-  (SELECT id, 1 - (row_number() OVER (ORDER BY round(score, 9) DESC, id) - 1) / ((SELECT least(40, count(*)) FROM scored) + 1.0) AS ts FROM scored ORDER BY round(score, 9) DESC, id LIMIT 40) t FULL JOIN
-  (SELECT id, 1 - (row_number() OVER (ORDER BY confidence DESC, id) - 1) / ((SELECT least(40, count(*)) FROM facts) + 1.0) AS vs FROM facts ORDER BY confidence DESC, id LIMIT 40) v ON t.id = v.id""", FACTS, BM25.replace("{prefixes}", "('sch'), ('the')")))
-def q04(spark, sf):
-    ranked = lambda df, order: df.orderBy(*order).limit(40).withColumn("place", F.row_number().over(Window.orderBy(*order)))  # noqa: E731  a top-k
-    text = ranked(search.bm25(spark, facts(spark, sf), "id", "content", ["sch", "the"]), [F.desc(F.round("score", 9)), F.asc("id")])
-    other = ranked(facts(spark, sf), [F.desc("confidence"), F.asc("id")])
-    return search.hybrid(text, other, 0.3, 0.7).select("id", r6(F.col("score")).alias("score"))
-
-
 @query("q02_store_search", with_views("SELECT id, round(score, 6)::DOUBLE AS score FROM (SELECT id, score FROM scored ORDER BY round(score, 9) DESC, id LIMIT 30) h JOIN facts f USING (id) WHERE NOT is_superseded", FACTS, BM25.replace("{prefixes}", "('ver'), ('ción')")))
 def q02(spark, sf):
     hits = search.bm25(spark, facts(spark, sf), "id", "content", ["ver", "ción"]).orderBy(F.desc(F.round("score", 9)), "id").limit(30)

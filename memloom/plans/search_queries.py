@@ -54,18 +54,6 @@ def q05(spark, sf):
     return budgeted_recall(spark, facts(spark, sf), "hero th en", "creative", 1000)
 
 
-@query("q03_hybrid_merge", with_views("""SELECT coalesce(t.id, v.id) AS id, round(0.2 * coalesce(ts, 0) + 0.8 * coalesce(vs, 0), 6)::DOUBLE AS score FROM
-  (SELECT id, 1 - (row_number() OVER (ORDER BY round(score, 9) DESC, id) - 1) / ((SELECT least(50, count(*)) FROM scored) + 1.0) AS ts FROM scored ORDER BY round(score, 9) DESC, id LIMIT 50) t FULL JOIN
-  (SELECT id, 1 - (row_number() OVER (ORDER BY importance DESC, id) - 1) / ((SELECT least(50, count(*)) FROM facts) + 1.0) AS vs FROM facts ORDER BY importance DESC, id LIMIT 50) v ON t.id = v.id""", FACTS, BM25.replace('{prefixes}', "('sch'), ('then'), ('ment')")))
-def q03(spark, sf):
-    from pyspark.sql.window import Window
-
-    ranked = lambda df, order: df.orderBy(*order).limit(50).withColumn("place", F.row_number().over(Window.orderBy(*order)))  # noqa: E731  a top-k
-    text = ranked(search.bm25(spark, facts(spark, sf), "id", "content", ["sch", "then", "ment"]), [F.desc(F.round("score", 9)), F.asc("id")])
-    other = ranked(facts(spark, sf), [F.desc("importance"), F.asc("id")])
-    return search.hybrid(text, other).select("id", r6(F.col("score")).alias("score"))
-
-
 @query("t01_exact_knn", """SELECT query, place, vec_id, round(score, 6)::DOUBLE AS score FROM (SELECT q.vec_id AS query, v.vec_id, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score,
   row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) DESC, v.vec_id) AS place FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0) WHERE place <= 10""")
 def t01(spark, sf):
@@ -379,6 +367,6 @@ def g08(spark, sf):
     return graph.property_graph(episodes(spark, sf), facts(spark, sf), links(spark, sf))[1]
 
 
-@query("g10_chains")
+@query("g10_chains", with_views("SELECT node, min(other) AS chain FROM (SELECT source AS node, source AS other FROM e UNION SELECT node, other FROM walk) GROUP BY node", LINKS, EDGES.format(""), "RECURSIVE_walk").replace("WITH ", "WITH RECURSIVE ", 1).replace("RECURSIVE_walk", "walk AS (SELECT source AS node, target AS other FROM e UNION SELECT walk.node, e.target FROM walk JOIN e ON e.source = walk.other)"))
 def g10(spark, sf):
     return graph.chains(spark, links(spark, sf))
