@@ -62,3 +62,47 @@ SYNONYMS = (
     ("rebirth", "resurrection", "reincarnation", "renewal"), ("chaos", "void", "abyss", "primordial"), ("sacred", "holy", "divine", "hallowed"), ("quest", "journey", "pilgrimage", "odyssey"),
     ("dragon", "serpent", "wyrm"), ("magic", "sorcery", "witchcraft", "enchantment"), ("spirit", "ghost", "phantom", "shade"),
 )
+
+# Patterns of facts in what users say: type, subtype, whether a name is asked for, pattern (case-blind but for names).
+FACT_PATTERNS = (
+    ("personal", "name", True, r"(?:my name is|i am|i'm)\s+(?-i:[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)"),
+    ("personal", "age", False, r"(?:i am|i'm)\s+(\d{1,3})\s*(?:years? old|yo)"),
+    ("personal", "location", True, r"(?:i live in|i'm from|i'm in|based in)\s+(?-i:[A-Z][a-zA-Z]+(?:[\s,]+[A-Z]?[a-zA-Z]+)*)"),
+    ("personal", "occupation", False, r"(?:i work (?:as|at)|i'm a|my job is)\s+(?:a\s+)?([^.!?,]+?)(?:\.|,|!|\?|$)"),
+    ("personal", "family", False, r"(?:i have|i've got)\s+(\d+)\s+(kids?|children|sons?|daughters?|pets?|cats?|dogs?)"),
+    ("personal", "experience", False, r"(?:i've been|i have been)\s+([^.]+?)\s+for\s+(\d+\s*(?:years?|months?|days?))"),
+    ("preference", "like", False, r"(?:i (?:really )?(?:like|love|enjoy|prefer))\s+([^.!?,]{3,50})(?:\.|,|!|\?|$)"),
+    ("preference", "favorite", False, r"(?:my favorite[s]? (?:is|are))\s+([^.!?,]{3,50})(?:\.|,|!|\?|$)"),
+    ("preference", "favorite", False, r"(?:i'm (?:a fan of|into|passionate about))\s+([^.!?,]{3,50})(?:\.|,|!|\?|$)"),
+    ("preference", "dislike", False, r"(?:i (?:don't|do not|never) (?:like|enjoy))\s+([^.!?,]{3,50})(?:\.|,|!|\?|$)"),
+    ("preference", "dislike", False, r"(?:i hate|i dislike|i can't stand)\s+([^.!?,]{3,50})(?:\.|,|!|\?|$)"),
+    ("project", "current_project", False, r"(?:i'm (?:working on|building|creating|developing))\s+([^.!?,]{3,60})(?:\.|,|!|\?|$)"),
+    ("project", "project_name", False, r"(?:my (?:project|app|site|book|novel|story) (?:is called|is))\s+([^.!?,]{3,40})(?:\.|,|!|\?|$)"),
+    ("project", "goal", False, r"(?:i'm trying to|i want to|my goal is to)\s+([^.!?,]{3,60})(?:\.|,|!|\?|$)"),
+    ("relationship", "partner", True, r"(?:my (?:wife|husband|partner|girlfriend|boyfriend|spouse)(?:'s name is|,?\s+))(?-i:[A-Z][a-z]+)"),
+    ("relationship", "partner", True, r"(?:my (?:wife|husband|partner|girlfriend|boyfriend|spouse))\s+(?-i:[A-Z][a-z]+)"),
+    ("relationship", "friend", True, r"(?:my (?:friend|best friend|colleague))\s+(?-i:[A-Z][a-z]+)"),
+    ("relationship", "family_member", True, r"(?:my (?:mom|dad|mother|father|sister|brother|parent)(?:'s name is|,?\s+))(?-i:[A-Z][a-z]+)"),
+)
+
+# Pairs of words of which a new fact and a known one must not hold one each.
+CONTRARIES = (
+    ("like", "dislike"), ("love", "hate"), ("prefer", "avoid"), ("enjoy", "dislike"), ("can", "cannot"), ("is", "is not"), ("has", "has no"),
+    ("want", "don't want"), ("happy", "unhappy"), ("works at", "left"), ("lives in", "moved from"),
+)
+# Attributes that have one value, attributes that have several, and beginnings of values that are no values.
+SINGULAR = ("name", "age", "location", "occupation", "partner")
+SEVERAL = ("like", "dislike", "prefer", "enjoy", "want", "need", "favorite", "interest", "hobby", "skill", "goal", "project", "topic", "friend", "relationship")
+NO_VALUES = ("the", "is", "are", "not", "just", "still", "being", "doing")
+
+# Words of time, and what marks the past and the present.
+TIME_WORDS = (
+    "before", "after", "then", "later", "earlier", "previously", "recently", "now", "currently", "formerly", "originally", "used to", "started", "stopped", "began", "ended",
+    "first", "next", "finally", "eventually", "since", "until", "yesterday", "today", "tomorrow", "last year", "this year", "in 2020", "in 2021", "in 2022", "in 2023", "in 2024", "in 2025", "in 2026",
+)
+PAST = r"\b(used to|formerly|previously|originally|was|were|had been|stopped|quit|gave up|moved from|left)\b"
+PRESENT = r"\b(currently|now|is|are|has been|recently started|lives in|works at|works as)\b"
+
+# What marks a telling sentence of a summary, and a project of fiction.
+SUMMARY_MARKERS = ("the user", "they expressed", "demonstrated", "interested in", "working on", "asked about")
+FICTION_WORDS = ("my character", "in the story", "my protagonist", "wizard", "dragon", "mana", "spell", "dungeon", "elves", "orcs", "magic", "quest", "tavern")

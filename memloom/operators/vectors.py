@@ -54,6 +54,20 @@ def likeness(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, "slot").groupBy("a", "b").agg(F.sum(F.col("_wa") * F.col("_wb")).alias("cosine"))
 
 
+def similar(vectors: DataFrame, threshold: float) -> DataFrame:
+    """Pairs a < b of unit vectors whose cosine reaches the threshold. If the slots that a pair shares all lay behind a vector's
+    prefix (rare slots first, until the rest is shorter than the threshold), its cosine would be less; so prefixes meet alone."""
+    from pyspark.sql.window import Window
+
+    ranked = vectors.join(vectors.groupBy("slot").agg(F.count("*").alias("df")), "slot")
+    rest = F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("id").orderBy(F.desc("df"), F.desc("slot")).rowsBetween(Window.unboundedPreceding, 0))
+    prefix = ranked.withColumn("_rest", rest).where((F.col("_rest") >= threshold * threshold - 1e-9) & (F.col("df") > 1)).select("id", "slot")
+    found = prefix.select(F.col("id").alias("a"), "slot").join(prefix.select(F.col("id").alias("b"), "slot"), "slot").where("a < b").select("a", "b").distinct()
+    side = lambda k: vectors.select(F.col("id").alias(k), "slot", F.col("weight").alias(f"_w{k}"))
+    both = found.join(side("a"), "a").join(side("b"), ["b", "slot"]).groupBy("a", "b").agg(F.sum(F.col("_wa") * F.col("_wb")).alias("cosine"))
+    return both.where(F.round("cosine", 9) >= threshold)
+
+
 def nearest(queries: DataFrame, store: DataFrame, k: int) -> DataFrame:
     """For each query (a few) the k stored vectors of greatest cosine: query, place, id, score."""
     from pyspark.sql.window import Window

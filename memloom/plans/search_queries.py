@@ -11,7 +11,7 @@ from memloom.functions.text import jaccard, terms, words
 from memloom.operators import analytics, graph, pairs, search, stores, windows
 from memloom.plans.catalog import query
 from memloom.plans.recall import budgeted_recall
-from memloom.plans.views import EPISODES, FACTS, FEEDBACK, LINKS, as_of, episodes, facts, feedback, links, table, with_views
+from memloom.plans.views import EPISODES, FACTS, FEEDBACK, LINKS, TOLD_FACTS, as_of, episodes, facts, feedback, links, table, told_facts, with_views
 
 W = r"[\p{L}\p{N}_]+"
 STOPS = "stops AS (SELECT ['" + "','".join(fixed.STOP_WORDS) + "'] AS stop)"
@@ -100,8 +100,11 @@ def d01(spark, sf):
   JOIN (SELECT id, sum(tf * tf) AS n FROM tf GROUP BY id) na ON na.id = a JOIN (SELECT id, sum(tf * tf) AS n FROM tf GROUP BY id) nb ON nb.id = b, (SELECT pow(1 + ln(1.5), 2) AS c)) p
   JOIN facts f ON f.id = a JOIN facts g ON g.id = b WHERE similarity > 0.5)""", FACTS, STOPS, TF))
 def d04(spark, sf):
+    return fact_duplicates(facts(spark, sf))
+
+
+def fact_duplicates(f):
     """Signals: content above 0.5, 0.3 for an equal type, 0.5 for the shared source; 0.7 of the greatest and 0.3 of their mean."""
-    f = facts(spark, sf)
     side = lambda k: f.select(F.col("id").alias(k), F.col("fact_type").alias(f"t{k}"), F.col("source_episode").alias(f"s{k}"))
     p = pairs.similar_pairs(f, "id", "content", 0.5).join(side("a"), "a").join(side("b"), "b")
     signals = F.array_compact(F.array(F.col("similarity"), F.when(F.col("ta") == F.col("tb"), 0.3), F.when(F.col("sa") == F.col("sb"), 0.5)))
@@ -285,7 +288,7 @@ WORDS = f"ws AS (SELECT id, fact_type, category, is_superseded, source_episode,
 
 def _fact_pairs(spark, sf):
     """Pairs of facts of one conversation, the block in which relationships are sought; a conversation is a bounded group."""
-    f = facts(spark, sf).select("id", "fact_type", "category", "is_superseded", "source_episode", F.array_distinct(words(F.col("content"))).alias("w"))
+    f = told_facts(spark, sf).select("id", "fact_type", "category", "is_superseded", "source_episode", F.array_distinct(words(F.col("content"))).alias("w"))
     side = lambda k: f.select("source_episode", *(F.col(c).alias(f"{k}_{c}") for c in ("id", "fact_type", "category", "is_superseded", "w")))
     return side("a").join(side("b"), "source_episode").where("a_id < b_id")
 
@@ -293,7 +296,7 @@ def _fact_pairs(spark, sf):
 @query("x11_contradictions", with_views(f"""SELECT a, b, round(least(1.0, score), 6)::DOUBLE AS confidence FROM (SELECT a.id AS a, b.id AS b, {OVER} AS o, a.category = b.category AS topic,
   CASE WHEN {OVER} >= 0.25 AND list_has_any(a.w, n) <> list_has_any(b.w, n) THEN 0.35 ELSE 0 END + CASE WHEN {' OR '.join(f"(list_contains(a.w, '{x}') AND list_contains(b.w, '{y}')) OR (list_contains(a.w, '{y}') AND list_contains(b.w, '{x}'))" for x, y in fixed.OPPOSITES)} THEN 0.35 ELSE 0 END
   + CASE WHEN a.fact_type = b.fact_type AND a.category = b.category THEN 0.15 ELSE 0 END + CASE WHEN (a.is_superseded OR b.is_superseded) AND {OVER} >= 0.2 THEN 0.2 ELSE 0 END AS score
-  FROM ws a JOIN ws b ON a.source_episode = b.source_episode AND a.id < b.id, (SELECT ['{"','".join(n.replace("'", "''") for n in fixed.NEGATIONS)}'] AS n)) WHERE (o >= 0.15 OR topic) AND score >= 0.3""", FACTS, WORDS))
+  FROM ws a JOIN ws b ON a.source_episode = b.source_episode AND a.id < b.id, (SELECT ['{"','".join(n.replace("'", "''") for n in fixed.NEGATIONS)}'] AS n)) WHERE (o >= 0.15 OR topic) AND score >= 0.3""", TOLD_FACTS, WORDS))
 def x11(spark, sf):
     p = _fact_pairs(spark, sf)
     c = rules.contradiction(F.col("a_w"), F.col("b_w"), F.col("a_category") == F.col("b_category"), F.col("a_fact_type") == F.col("b_fact_type"), F.col("a_is_superseded") | F.col("b_is_superseded"))
@@ -302,7 +305,7 @@ def x11(spark, sf):
 
 @query("x12_elaborations", with_views(f"""SELECT a, b, round(least(1.0, score), 6)::DOUBLE AS confidence FROM (SELECT a.id AS a, b.id AS b, {OVER} AS o,
   CASE WHEN least(len(a.w), len(b.w)) > 0 AND len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) >= 0.6 AND greatest(len(a.w), len(b.w)) / least(len(a.w), len(b.w)) >= 1.3 THEN 0.4 ELSE 0 END + CASE WHEN a.category = b.category THEN 0.2 ELSE 0 END
-  + CASE WHEN a.fact_type = b.fact_type THEN 0.1 ELSE 0 END + CASE WHEN abs(len(a.w)::INT - len(b.w)::INT) / greatest(len(a.w), len(b.w), 1) > 0.3 THEN 0.15 ELSE 0 END AS score FROM ws a JOIN ws b ON a.source_episode = b.source_episode AND a.id < b.id) WHERE o >= 0.2 AND score >= 0.3""", FACTS, WORDS))
+  + CASE WHEN a.fact_type = b.fact_type THEN 0.1 ELSE 0 END + CASE WHEN abs(len(a.w)::INT - len(b.w)::INT) / greatest(len(a.w), len(b.w), 1) > 0.3 THEN 0.15 ELSE 0 END AS score FROM ws a JOIN ws b ON a.source_episode = b.source_episode AND a.id < b.id) WHERE o >= 0.2 AND score >= 0.3""", TOLD_FACTS, WORDS))
 def x12(spark, sf):
     p = _fact_pairs(spark, sf)
     c = rules.elaboration(F.col("a_w"), F.col("b_w"), F.col("a_category") == F.col("b_category"), F.col("a_fact_type") == F.col("b_fact_type"))

@@ -51,6 +51,26 @@ FACTS = """facts AS (
   FROM (SELECT conv_id * 1000 + turn AS id, coalesce(text, '') AS content, conv_id AS source_episode FROM conversations))"""
 
 
+#: Statements of the kinds that rules look for; neighbours contradict, elaborate or follow each other. Each fifth message keeps
+#: its own text behind the statement.
+STATEMENTS = (
+    "My name is Anna Berg and I'm 34 years old.", "I live in Paris, France.", "I work as a nurse, mostly nights.", "I have 2 cats and a garden.", "I've been painting for 10 years.",
+    "I really like green tea and long walks.", "I never really like green tea and long walks.", "My favorite is dark chocolate.", "I'm a fan of old trains.", "I don't like cold coffee.", "I hate loud rooms!",
+    "I'm building a small sailing boat.", "I'm building a small sailing boat of oak near the old harbor, and my project is called Harbor.", "I want to learn Dutch.",
+    "My wife Clara was a singer in Oslo until 1999 and my best friend Tom left.", "My wife Clara is a singer in Oslo since 2021, my sister Eva works at home.",
+)
+_STATEMENTS_SQL = "[" + ", ".join("'" + s.replace("'", "''") + "'" for s in STATEMENTS) + "]"
+
+
+def told_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """The facts with a statement before each text, so that rules of extraction and relation meet what they look for."""
+    f = facts(spark, sf)
+    return f.withColumn("content", F.concat_ws(" ", _pick(STATEMENTS, F.col("id") + F.floor(F.col("id") / 1000)), F.when(F.col("id") % 5 == 0, F.col("content"))))
+
+
+TOLD_FACTS = FACTS.replace("SELECT id, content, source_episode", f"SELECT id, {_STATEMENTS_SQL}[(id + id // 1000) % 16 + 1] || CASE WHEN id % 5 = 0 THEN ' ' || content ELSE '' END AS content, source_episode", 1)
+
+
 def episodes(spark: SparkSession, sf: str) -> DataFrame:
     """An episode for each conversation; its messages are one row's array, which a conversation bounds."""
     k = F.col("id")
