@@ -23,7 +23,7 @@ TOPICS = {
     "general": "question explain how what why learn understand help information know think idea opinion".split(),
 }
 
-# Emotion keywords, in the order that breaks ties, with each emotion's valence.
+# Emotion keywords of one word, in the order that breaks ties, with each emotion's valence.
 EMOTIONS = {
     "joy": (1, "happy glad joyful excited thrilled delighted pleased cheerful elated wonderful fantastic amazing awesome great love loving loved enjoy enjoying enjoyed fun laugh laughing smile smiling yay woohoo hooray brilliant excellent perfect beautiful grateful thankful".split()),
     "sadness": (-1, "sad unhappy depressed down blue miserable heartbroken devastated upset disappointed sorry regret miss missing lonely alone grief mourning cry crying tears weep melancholy gloomy hopeless despair hurt hurting pain".split()),
@@ -55,7 +55,7 @@ OPPOSITES = (
     ("join", "leave"), ("joined", "left"), ("accept", "decline"), ("accepted", "declined"), ("increase", "decrease"), ("increased", "decreased"),
 )
 
-# Synonym groups of themes; each term stands for the others of its group.
+# Synonym groups of themes, the default of a parameter: each term stands for the others of its group. A choice, not a full list.
 SYNONYMS = (
     ("death", "mortality", "afterlife", "underworld"), ("creation", "origin", "genesis", "cosmogony"), ("flood", "deluge", "cataclysm"), ("trickster", "shapeshifter", "deceiver"),
     ("hero", "champion", "warrior"), ("prophecy", "oracle", "divination", "seer"), ("sacrifice", "offering", "immolation"), ("fate", "destiny", "wyrd", "moira"),

@@ -10,7 +10,10 @@ from memloom.operators.pairs import similar_pairs
 from memloom.operators.windows import first_by
 
 # What marks a statement about oneself, and how an assistant's "you" becomes "I"; the first that fits is used once.
-SELF_MARKERS = ("my name", "i live", "i moved", "i grew up", "i work", "my job", "i speak", "i study", "i own", "i drive", "i am", "i'm", "i have", "i like", "i love", "i prefer")
+SELF_MARKERS = (
+    "i am", "i'm", "i work", "i live", "my name", "i like", "i love", "i hate", "i want", "i need", "i have", "i've been", "i'm working on", "i study",
+    "i prefer", "i usually", "my job", "my hobby", "i moved", "i grew up", "i speak", "i play", "i own", "i drive", "i built", "i created",
+)
 TO_FIRST = (
     ("you are ", "I am "), ("you're ", "I'm "), ("you work ", "I work "), ("you live ", "I live "), ("you have ", "I have "), ("you've ", "I've "), ("you moved ", "I moved "),
     ("you grew ", "I grew "), ("you study ", "I study "), ("you own ", "I own "), ("you drive ", "I drive "), ("you speak ", "I speak "), ("your name is", "my name is"), ("your job ", "my job "),

@@ -25,28 +25,44 @@ def term_counts(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(F.col(key).alias("id"), F.explode(terms(F.col(text))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
+def least_share(threshold: float) -> float:
+    """The least part of a text's squared counts that must be shared for a pair cosine of the threshold: with the part r shared on
+    one side and everything on the other, the cosine is at most the root of r / (r + UNIQUE^2 (1 - r))."""
+    c2, t2 = UNIQUE * UNIQUE, threshold * threshold
+    return c2 * t2 / (1 - t2 + c2 * t2)
+
+
+def greater_share(threshold: float) -> float:
+    """What one of the two sides must share at least: were both below it, the cosine would be below the threshold."""
+    return least_share(math.sqrt(threshold))
+
+
 def similar_pairs(rows: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
     """Pairs (a < b) whose pair cosine exceeds the threshold.
 
-    The pair cosine is never above the plain count cosine, so a pair can pass only if one of the terms of each text's prefix
-    is shared: terms in order of rarity, cut where the rest alone can't reach the threshold. Candidates come from prefixes
-    alone; the cosine is then computed from all terms of the candidates.
+    Each text must share at least `least_share` of its squared counts, and one of both `greater_share`. With the terms in order
+    of rarity, the rarest shared one lies in the prefixes behind which less than that is left: a short one of the one side and a
+    longer one of the other. Candidates come from these alone; the cosine is then computed from the texts' counts, which each
+    candidate meets as one map for either side.
     """
     counts = term_counts(rows, key, text)
     frequency = counts.groupBy("term").agg(F.count("*").alias("df"))
     w = Window.partitionBy("id")
     ordered = counts.join(frequency, "term").withColumn("_all", F.sum(F.col("tf") * F.col("tf")).over(w))
     rest = F.sum(F.col("tf") * F.col("tf")).over(w.orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0))
-    prefix = ordered.withColumn("_rest", rest).where(F.col("_rest") >= F.lit(threshold * threshold) * F.col("_all")).where("df > 1").select("id", "term")
-    a, b = prefix.select(F.col("id").alias("a"), "term"), prefix.select(F.col("id").alias("b"), "term")
-    candidates = a.join(b, "term").where("a < b").select("a", "b").distinct()
-    left = counts.select(F.col("id").alias("a"), "term", F.col("tf").alias("ta"))
-    right = counts.select(F.col("id").alias("b"), "term", F.col("tf").alias("tb"))
-    shared = candidates.join(left, "a").join(right, ["b", "term"]).groupBy("a", "b").agg(
-        F.sum(F.col("ta") * F.col("tb")).alias("dot"), F.sum(F.col("ta") * F.col("ta")).alias("sa"), F.sum(F.col("tb") * F.col("tb")).alias("sb"))
+    prefix = ordered.withColumn("_rest", rest / F.col("_all")).where((F.col("_rest") >= least_share(threshold) - 1e-9) & (F.col("df") > 1))
+    short = prefix.where(F.col("_rest") >= greater_share(threshold) - 1e-9).select(F.col("id").alias("_x"), "term")
+    met = short.join(prefix.select(F.col("id").alias("_y"), "term"), "term").where("_x <> _y")
+    candidates = met.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).distinct()
+    whole = counts.join(frequency.where("df > 1"), "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("term", "tf"))).alias("_t")).select("id", F.transform("_t", lambda x: x["term"]).alias("k"), F.map_from_entries("_t").alias("m"))
     norms = counts.groupBy("id").agg(F.sum(F.col("tf") * F.col("tf")).alias("n"))
-    out = shared.join(norms.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(norms.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    return out.withColumn("similarity", pair_cosine(F.col("dot"), F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"))).where(F.col("similarity") > threshold).select("a", "b", "similarity")
+    whole = whole.join(norms, "id")
+    side = lambda k: whole.select(F.col("id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("k", "m", "n")))
+    both = candidates.join(side("a"), "a").join(side("b"), "b").withColumn("_s", F.array_intersect("k_a", "k_b"))
+    total = lambda f: F.aggregate("_s", F.lit(0).cast("long"), lambda s, t: s + f(t))
+    ta, tb = (lambda t: F.col("m_a")[t]), (lambda t: F.col("m_b")[t])
+    sums = both.select("a", "b", "n_a", "n_b", total(lambda t: ta(t) * tb(t)).alias("dot"), total(lambda t: ta(t) * ta(t)).alias("sa"), total(lambda t: tb(t) * tb(t)).alias("sb"))
+    return sums.withColumn("similarity", pair_cosine(F.col("dot"), F.col("sa"), F.col("sb"), F.col("n_a"), F.col("n_b"))).where(F.col("similarity") > threshold).select("a", "b", "similarity")
 
 
 def overlapping_pairs(sets: DataFrame, threshold: float) -> DataFrame:

@@ -24,6 +24,16 @@ def expanded(query: Sequence[str], per_term: int = 3, most: int = 10) -> list[st
     return seen + added[:most]
 
 
+def expansions(queries: DataFrame, key: str, text: str, synonyms: Sequence[Sequence[str]] = SYNONYMS, per_term: int = 3) -> DataFrame:
+    """For each word of each query at most per_term synonyms (n from 1, in code-point order) that the query does not hold.
+    synonyms: groups of words that stand for each other; any table takes the default's place."""
+    known = queries.sparkSession.createDataFrame([(t, s) for g in synonyms for t in g for s in g if s != t], "term string, synonym string")
+    held = queries.select(key, F.array_distinct(words(F.col(text))).alias("_held"))
+    found = held.withColumn("term", F.explode("_held")).join(F.broadcast(known), "term").where(~F.array_contains("_held", F.col("synonym")))  # a list in the code
+    place = F.row_number().over(Window.partitionBy(key, "term").orderBy("synonym"))
+    return found.withColumn("n", place).where(F.col("n") <= per_term).select(key, "term", "synonym", "n")
+
+
 def postings(rows: DataFrame, key: str, text: str) -> DataFrame:
     """Term counts of each row and the row's length in words."""
     exploded = rows.select(F.col(key).alias("id"), F.explode(words(F.col(text))).alias("term"))

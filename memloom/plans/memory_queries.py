@@ -33,10 +33,10 @@ def s18(spark, sf):
     return table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", F.size(kept).cast("long").alias("n"))
 
 
-@query("s25_episode_ingest", "SELECT event_id, CASE event_type WHEN 'error' THEN -1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 1 ELSE 0 END AS valence, ts::DATE::VARCHAR AS day FROM events WHERE length(props) >= 10")
+@query("s25_episode_ingest", "SELECT event_id, CASE event_type WHEN 'error' THEN -1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 1 ELSE 0 END AS valence, ts::DATE::VARCHAR AS day FROM events WHERE length(props) >= 9")
 def s25(spark, sf):
     levels = F.create_map(*(F.lit(x) for pair in (("error", -1), ("purchase", 2), ("signup", 1)) for x in pair))
-    return table(spark, sf, "events").where(F.length("props") >= 10).select("event_id", F.coalesce(levels[F.col("event_type")], F.lit(0)).alias("valence"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    return table(spark, sf, "events").where(F.length("props") >= 9).select("event_id", F.coalesce(levels[F.col("event_type")], F.lit(0)).alias("valence"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
 
 
 @query("s35_index_rebuild", with_views(f"SELECT term, count(*) AS rows, sum(tf)::BIGINT AS hits FROM (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(content), '{W}')) AS term FROM facts) GROUP BY ALL) GROUP BY term", FACTS))
@@ -320,10 +320,11 @@ def r13(spark, sf):
     return met.agg(F.count_if(F.col("_hit")).alias("deleted"), F.count_if(F.col("_hit").isNull()).alias("missing"))
 
 
-@query("r18_budget_tiers", "SELECT * FROM (VALUES (4, 200), (8, 200), (12, 500), (24, 1000), (48, 2000)) t(vram, budget)")
+@query("r18_budget_tiers", "SELECT budget, count(*) AS n, min(vram) AS least, max(vram) AS greatest FROM (SELECT c_custkey % 50 + 1 AS vram, CASE WHEN c_custkey % 50 + 1 <= 8 THEN 200 WHEN c_custkey % 50 + 1 <= 16 THEN 500 WHEN c_custkey % 50 + 1 <= 24 THEN 1000 ELSE 2000 END AS budget FROM customer) GROUP BY budget")
 def r18(spark, sf):
     v = F.col("vram")
-    return spark.createDataFrame([(4,), (8,), (12,), (24,), (48,)], "vram int").select("vram", F.when(v <= 8, 200).when(v <= 16, 500).when(v <= 24, 1000).otherwise(2000).alias("budget"))
+    machines = table(spark, sf, "customer").select((F.col("c_custkey") % 50 + 1).alias("vram"))
+    return machines.withColumn("budget", F.when(v <= 8, 200).when(v <= 16, 500).when(v <= 24, 1000).otherwise(2000)).groupBy("budget").agg(F.count("*").alias("n"), F.min("vram").alias("least"), F.max("vram").alias("greatest"))
 
 
 @query("r21_status_rollup", "SELECT count(DISTINCT user_id) AS agents, count(*) FILTER (event_type = 'signup') AS notes, count(*) FILTER (event_type = 'view') AS shared FROM events")

@@ -5,17 +5,16 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from memloom.functions import scoring as sc
-from memloom.functions.fixed import EMOTIONS
+from memloom.functions.fixed import EMOTIONS, SYNONYMS
 from memloom.functions.sentiment import with_sentiment
 from memloom.functions.temporal import parse
 from memloom.functions.text import jaccard, words
 from memloom.operators import conversations, graph, learning, search, stores, windows
 from memloom.plans.catalog import query
 from memloom.plans.search_queries import BM25, FRESH, W
-from memloom.plans.views import AS_OF, EPISODES, FACTS, LINKS, as_of, episodes, facts, links, table, with_views
+from memloom.plans.views import AS_OF, EPISODES, FACTS, LINKS, TOLD_FACTS, as_of, episodes, facts, links, table, told_facts, with_views
 
 
 def r6(c):
@@ -73,10 +72,23 @@ def q07(spark, sf):
     return facts(spark, sf).join(hits, "id").select("id", r6(fresh).alias("freshness"), F.when(F.col("category") == "creative", 1.3).otherwise(1.0).alias("boost"), r6(F.log1p("confirmation_count")).alias("confirmation"))
 
 
-@query("q08_query_classes", "SELECT * FROM (VALUES ('tell me more', 'follow_up'), ('compare dragon versus hero', 'comparison'), ('a dragon and the void', 'thematic'), ('tea', 'general'), ('', 'general')) t(q, class)")
+_CLASSED = ("tell me more", "compare dragon versus hero", "a dragon and the void", "tea", "what else and then", "the difference between fate and destiny")
+
+
+def _class_sql() -> str:
+    count = lambda needles: "(" + " + ".join(f"contains(low, '{n}')::INT" for n in (x.replace("'", "''") for x in needles)) + ")"
+    themes = "[" + ", ".join(f"'{t}'" for t in sorted({t for g in SYNONYMS for t in g})) + "]"
+    scores = f"least(1.0, {count(conversations.FOLLOW_UPS)} * 0.4) AS f, least(1.0, {count(conversations.COMPARISONS)} * 0.4) AS c, least(1.0, len(list_intersect(regexp_extract_all(low, '[\\p{{L}}\\p{{N}}_]+'), {themes})) * 0.3) AS t"
+    asked = "['" + "', '".join(_CLASSED) + f"'][(conv_id + turn) % {len(_CLASSED)} + 1]"
+    return f"SELECT q, CASE WHEN greatest(f, c, t) < 0.25 THEN 'general' WHEN f = greatest(f, c, t) THEN 'follow_up' WHEN c = greatest(f, c, t) THEN 'comparison' ELSE 'thematic' END AS class, count(*) AS n FROM (SELECT q, {scores} FROM (SELECT q, lower(q) AS low FROM (SELECT {asked} || ' ' || (turn % 2) AS q FROM conversations))) GROUP BY q, class"
+
+
+@query("q08_query_classes", _class_sql())
 def q08(spark, sf):
-    asked = spark.createDataFrame([("tell me more",), ("compare dragon versus hero",), ("a dragon and the void",), ("tea",), ("",)], "q string")
-    return asked.select("q", conversations.query_class(F.col("q")).alias("class"))
+    """What kind of search each message's query asks for."""
+    k = F.col("conv_id") + F.col("turn")
+    asked = F.concat_ws(" ", F.element_at(F.array(*map(F.lit, _CLASSED)), (k % len(_CLASSED) + 1).cast("int")), (F.col("turn") % 2).cast("string"))
+    return table(spark, sf, "conversations").select(asked.alias("q")).select("q", conversations.query_class(F.col("q")).alias("class")).groupBy("q", "class").agg(F.count("*").alias("n"))
 
 
 @query("q10_accents", "SELECT conv_id, turn, translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy') AS plain FROM conversations WHERE role = 'user'")
@@ -92,22 +104,31 @@ def d06(spark, sf):
     return d.groupBy("h", "g").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
 
 
-@query("x06_self_statements")
+@query("x06_self_statements", with_views(f"""SELECT DISTINCT id, s AS statement FROM (SELECT id, regexp_replace(trim(unnest(string_split(content, '. '))), '[.,!?]+$', '') AS s FROM facts)
+  WHERE length(s) > 10 AND length(s) < 500 AND ({' OR '.join("contains(lower(s), '" + m.replace("'", "''") + "')" for m in learning.SELF_MARKERS)})""", TOLD_FACTS))
 def x06(spark, sf):
-    more = spark.createDataFrame([(-1, "I live in Oslo now. The sky is grey. My name is Ada!")], "id long, content string")
-    return learning.statements(facts(spark, sf).select("id", "content").unionByName(more), "content").select("id", "statement")
+    return learning.statements(told_facts(spark, sf).select("id", "content"), "content").select("id", "statement")
+
+
+_YOU = ("Since you live in Oslo", "You're a pilot", "nothing", "I hear you work at night and your job is hard", "Your name is Anna")
+
+
+def _first_person_sql() -> str:
+    cases = " ".join("WHEN strpos(lower(said), {y}) > 0 THEN substr(said, 1, strpos(lower(said), {y}) - 1) || {i} || substr(said, strpos(lower(said), {y}) + {n})".format(y="'" + y.replace("'", "''") + "'", i="'" + i.replace("'", "''") + "'", n=len(y)) for y, i in learning.TO_FIRST)
+    said = "['" + "', '".join(x.replace("'", "''") for x in _YOU) + f"'][(conv_id + turn) % {len(_YOU)} + 1]"
+    return f"SELECT conv_id, turn, CASE {cases} ELSE said END AS own FROM (SELECT conv_id, turn, {said} || ' ' || turn AS said FROM conversations WHERE role = 'assistant')"
 
 
-@query("x07_first_person", "SELECT * FROM (VALUES ('Since you live in Oslo', 'Since I live in Oslo'), ('You''re a pilot', 'I''m a pilot'), ('nothing', 'nothing')) t(said, own)")
+@query("x07_first_person", _first_person_sql())
 def x07(spark, sf):
-    said = spark.createDataFrame([("Since you live in Oslo",), ("You're a pilot",), ("nothing",)], "said string")
-    return said.select("said", learning.first_person(F.col("said")).alias("own"))
+    said = F.concat_ws(" ", F.element_at(F.array(*map(F.lit, _YOU)), ((F.col("conv_id") + F.col("turn")) % len(_YOU) + 1).cast("int")), F.col("turn").cast("string"))
+    return table(spark, sf, "conversations").where("role = 'assistant'").select("conv_id", "turn", learning.first_person(said).alias("own"))
 
 
-@query("x08_emotion_rows", with_views("SELECT emotion, count(*) AS n FROM (SELECT id, unnest(list_filter([" + ", ".join(f"CASE WHEN list_has_any(w, {k}) THEN '{n}' END" for n, (_, k) in EMOTIONS.items()) + f"], lambda x: x IS NOT NULL)) AS emotion FROM (SELECT id, regexp_extract_all(lower(content), '{W}') AS w FROM facts)) GROUP BY emotion", FACTS))
+@query("x08_emotion_rows", with_views("SELECT emotion, count(*) AS n FROM (SELECT id, unnest(list_filter([" + ", ".join(f"CASE WHEN list_has_any(w, {k}) THEN '{n}' END" for n, (_, k) in EMOTIONS.items()) + f"], lambda x: x IS NOT NULL)) AS emotion FROM (SELECT id, regexp_extract_all(lower(content), '{W}') AS w FROM facts)) GROUP BY emotion", TOLD_FACTS))
 def x08(spark, sf):
     """Every emotion that a fact names, counted."""
-    w = facts(spark, sf).select("id", F.explode(F.array_distinct(words(F.col("content")))).alias("word"))
+    w = told_facts(spark, sf).select("id", F.explode(F.array_distinct(words(F.col("content")))).alias("word"))
     known = spark.createDataFrame([(k, n) for n, (_, keys) in EMOTIONS.items() for k in keys], "word string, emotion string")
     return w.join(F.broadcast(known), "word").select("id", "emotion").distinct().groupBy("emotion").agg(F.count("*").alias("n"))
 

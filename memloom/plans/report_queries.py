@@ -84,11 +84,6 @@ def q06(spark, sf):
     return episodes(spark, sf).where(F.lower("summary").like("%en%")).select("id", r6(fresh).alias("freshness"))
 
 
-@query("q09_expansion", "SELECT * FROM (VALUES (0, 'dragon'), (1, 'tea'), (2, 'serpent'), (3, 'wyrm')) t(place, word)")
-def q09(spark, sf):
-    return spark.createDataFrame(list(enumerate(search.expanded("Dragon tea".split()))), "place int, word string")
-
-
 @query("x20_fiction_filter", with_views("SELECT id FROM facts WHERE NOT list_has_any(string_split_regex(lower(content), '\\s+'), ['the', 'dragon', 'novel'])", FACTS))
 def x20(spark, sf):
     return facts(spark, sf).where(~F.arrays_overlap(F.split(F.lower("content"), r"\s+"), F.array(*map(F.lit, ("the", "dragon", "novel"))))).select("id")

@@ -343,9 +343,9 @@ def w10(spark, sf):
     return windows.first_by(facts(spark, sf), [F.lower(F.trim("category")), F.col("fact_type")], [F.desc("importance"), F.asc("id")]).select("id", "category")
 
 
-@query("w11_anniversaries", with_views("SELECT id, started_at, 2024 - year(started_at) AS years FROM episodes WHERE year(started_at) < 2024 AND abs(date_diff('day', make_date(2024, month(started_at), day(started_at)), DATE '2024-12-01')) <= 3", EPISODES))
+@query("w11_anniversaries", with_views("SELECT id, started_at, 2025 - year(started_at) AS years FROM episodes WHERE year(started_at) < 2025 AND abs(date_diff('day', make_date(2025, month(started_at), day(started_at)), DATE '2025-01-20')) <= 3", EPISODES))
 def w11(spark, sf):
-    out = windows.anniversaries(episodes(spark, sf), "started_at", F.lit("2024-12-01").cast("date"))
+    out = windows.anniversaries(episodes(spark, sf), "started_at", F.lit("2025-01-20").cast("date"))
     return out.select("id", "started_at", F.col("years").cast("long").alias("years"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from memloom.functions import fixed, rules
 from memloom.functions import scoring as sc
 from memloom.functions.text import contains_any, strings, terms, tokens_by_length, words
-from memloom.operators import conversations, extraction, learning, pairs, stores, vectors, windows
+from memloom.operators import conversations, extraction, learning, pairs, stores, vectors
 from memloom.plans.catalog import ORACLE_SQL, query
 from memloom.plans.search_queries import STOPS, TF, W, fact_duplicates, r6
 from memloom.plans.vector_queries import IDF, VEC
