@@ -9,7 +9,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm.common import ascii_lower, table
+from memloom.llm.common import ascii_lower, keep, only_wanted, table
 
 #: kind -> (pattern, group whose length counts, least length). A match that is too short is consumed and dropped.
 RULES: dict[str, tuple[str, int, int]] = {
@@ -116,7 +116,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Find every rule's leftmost non-overlapping matches. Returns id and spans: array of struct(kind, start, stop) by start, then rule order.
 
     Each rule's Boolean trigram query runs on an inverted index of the trigrams that the rules ask for; only documents whose
-    postings meet it are verified with the rule's regular expression. Rules without mandatory trigrams scan every text.
+    postings meet it are verified with the rule's regular expression. Rules without mandatory trigrams scan every text where
+    it is read. Only texts of candidates are shuffled.
 
     Null or empty text: no spans. Null ids and repeated rows keep one result row for each input row. Positions are code
     points, the end exclusive. An empty table gives an empty table; extra columns are not read.
@@ -139,14 +140,21 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             met = met & one
         return met
 
-    indexed = [k for k, q in queries.items() if q]
-    candidates = seen.select(F.col("_id").alias("_cid"), F.col("_hash").alias("_chash"), *(holds(queries[k]).alias(f"_may_{k}") for k in indexed))
-    candidates = candidates.where(" or ".join(f"_may_{k}" for k in indexed))
-    joined = docs.join(candidates, F.col("_id").eqNullSafe(F.col("_cid")) & (F.col("_hash") == F.col("_chash")), "left")
     kinds = list(rules)
-    found = [F.when(F.col(f"_may_{k}"), _matches(*rules[k], i)).otherwise(_none()) if k in indexed else _matches(*rules[k], i) for i, k in enumerate(kinds)]
+    indexed = [k for k in kinds if queries[k]]
+    spans_of = lambda k: _matches(*rules[k], kinds.index(k))
+    free = F.concat(_none(), *(spans_of(k) for k in kinds if k not in indexed))
+    light = docs.select("_id", "_hash", free.alias("_free"))
+    candidates = seen.select(F.col("_id").alias("_cid"), F.col("_hash").alias("_chash"), *(holds(queries[k]).alias(f"_may_{k}") for k in indexed))
+    candidates = keep(docs.sparkSession, candidates.where(" or ".join(["false", *(f"_may_{k}" for k in indexed)])))
+    texts = only_wanted(docs, candidates.select(F.col("_cid").alias("_id")))
+    met = texts.join(candidates, F.col("_id").eqNullSafe(F.col("_cid")) & (F.col("_hash") == F.col("_chash")))
+    found = F.concat(_none(), *(F.when(F.col(f"_may_{k}"), spans_of(k)).otherwise(_none()) for k in indexed))
+    verified = met.select("_cid", "_chash", found.alias("_found")).where(F.size("_found") > 0).dropDuplicates(["_cid", "_chash"])
+    joined = light.join(verified, F.col("_id").eqNullSafe(F.col("_cid")) & (F.col("_hash") == F.col("_chash")), "left")
     names = F.array(*map(F.lit, kinds))
-    spans = F.transform(F.array_sort(F.concat(*found)), lambda x: F.struct(F.element_at(names, x["rank"] + 1).alias("kind"), x["start"].alias("start"), x["stop"].alias("stop")))
+    every = F.array_sort(F.concat("_free", F.coalesce("_found", _none())))
+    spans = F.transform(every, lambda x: F.struct(F.element_at(names, x["rank"] + 1).alias("kind"), x["start"].alias("start"), x["stop"].alias("stop")))
     return joined.select(F.col("_id").alias(id_col), spans.alias("spans"))
 
 
