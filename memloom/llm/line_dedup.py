@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm.common import SPACES, ascii_lower, table
+from memloom.llm.common import SPACES, ascii_lower, keep, table
 
-#: Rows of a hot line are dealt out over so many tasks when they meet its verdict.
+#: Rows of a hot line are dealt out over so many tasks when they meet its verdict; AQE cuts tasks that are still too large.
 SALTS = 16
 
 
@@ -26,18 +26,26 @@ def _hashed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     )
 
 
+def _without(lines, drops):
+    """The lines that aren't at the dropped positions, joined. Both arrays are bound once, so the work grows with the lines."""
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drops)
+    bound = F.array(F.struct(lines.alias("all"), left.alias("left")))
+    return F.element_at(F.transform(bound, lambda b: F.array_join(F.transform(b["left"], lambda i: F.element_at(b["all"], i + 1)), "\n")), 1)
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """Drop lines that at least `min_docs` documents hold, but in the largest id that holds them.
 
     A line's key is the line without ASCII white space at both ends, A-Z lower-cased, and counts from `min_chars` code points on.
-    Returns the input's columns with the text replaced, plus n_lines and n_dropped. Keys are compared by 128 hash bits.
+    Returns the input's columns with the text replaced, plus n_lines and n_dropped. Keys are compared by 128 hash bits. Lines
+    are taken apart and hashed once; their hashes and positions are written to the shared folder.
 
     Null or empty text: one empty line, stays "". Null id: a document whose id is below all others. Rows that share an id are
     one document when documents are counted; each row keeps its own lines. Lines below `min_chars` always stay. An empty table
     gives an empty table. Extra columns pass through untouched; names beginning with _memloom are ours.
     """
     work = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), _split(F.col(text_col)).alias("_lines"))
-    lines = _hashed_lines(work, min_chars)
+    lines = keep(docs.sparkSession, _hashed_lines(work, min_chars))
     common = (
         lines.groupBy("_h1", "_h2", "_id").agg(F.lit(1).alias("_one"))
         .groupBy("_h1", "_h2").agg(F.count("*").alias("_n"), F.max("_id").alias("_keep"))
@@ -53,8 +61,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     joined = docs.join(drops, docs[id_col].eqNullSafe(drops["_memloom_id"]) & F.xxhash64(docs[text_col]).eqNullSafe(drops["_memloom_text"]), "left")
     split = _split(docs[text_col])
-    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_memloom_drops"))
-    rebuilt = F.when(F.col("_memloom_drops").isNull(), F.coalesce(docs[text_col], F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(split, i + 1)), "\n"))
+    rebuilt = F.when(F.col("_memloom_drops").isNull(), F.coalesce(docs[text_col], F.lit(""))).otherwise(_without(split, F.col("_memloom_drops")))
     others = [rebuilt.alias(text_col) if c == text_col else docs[c] for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return joined.select(*others, F.size(split).cast("long").alias("n_lines"), F.coalesce(F.size("_memloom_drops"), F.lit(0)).cast("long").alias("n_dropped"))
 
