@@ -35,4 +35,4 @@ def test_chunks_and_clusters(spark):
     sets = spark.createDataFrame([("g", 1, ["a", "b", "c"]), ("g", 2, ["a", "b"]), ("g", 3, ["x"])], "g string, id long, w array<string>")
     assert {r["id"]: r["cluster"] for r in conversations.clusters(sets, "g", "id", "w").collect()} == {1: 0, 2: 0, 3: 1}
     pairs = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.8), (3, 4, 0.7)], "a long, b long, score double")
-    assert conversations.greedy_matches(pairs) == [(1, 2, 0.9), (3, 4, 0.7)]
+    assert [tuple(r) for r in conversations.greedy_matches(pairs).collect()] == [(1, 2, 0.9), (3, 4, 0.7)]

@@ -9,7 +9,7 @@ import pytest
 from memloom.plans import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents embeddings pages benchmark labels conversations events".split()
+TABLES = "customer documents embeddings pages benchmark labels conversations events".split()
 
 
 def plain(v):
