@@ -17,6 +17,11 @@ SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Which bytes words are made of: all but the six spaces.
+INK = ~_SPACE
+#: Which bytes terms are made of: digits, ASCII letters and all of non-ASCII characters.
+TERM_INK = np.zeros(256, bool)
+TERM_INK[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A") : ord("Z") + 1] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -102,13 +107,13 @@ def hashed(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, offsets: np.nd
     return Words(buf, starts, ends, np.searchsorted(starts, offsets), hashes)
 
 
-def words(buf: np.ndarray, offsets: np.ndarray, fold: bool = True) -> Words:
-    """fold: A-Z count as a-z in the hashes."""
+def words(buf: np.ndarray, offsets: np.ndarray, fold: bool = True, ink: np.ndarray = INK) -> Words:
+    """fold: A-Z count as a-z in the hashes. ink: the bytes that words are made of."""
     offsets = offsets - offsets[0] if len(offsets) else np.zeros(1, np.int64)
     if not len(buf):
         none = np.zeros(0, np.int64)
         return Words(buf, none, none, np.zeros(len(offsets), np.int64), np.zeros(0, np.uint64))
-    starts, ends = borders(buf, offsets, ~_SPACE[buf])
+    starts, ends = borders(buf, offsets, ink[buf])
     return hashed(buf, starts, ends, offsets, fold)
 
 
