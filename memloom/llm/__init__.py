@@ -1,6 +1,6 @@
 """Operators for training-data pipelines over documents, embeddings and pages."""
 
-from memloom.llm import cover_tree, decontamination, fingerprints, jaccard_join, line_dedup, mixing, packing, secret_scan, span_dedup, toxicity, url_filters
+from memloom.llm import cover_tree, decontamination, fingerprints, jaccard_join, line_dedup, merkle, mixing, packing, ranked_search, secret_scan, span_dedup, toxicity, url_filters
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_url_filters": url_filters.op8_url_filters,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+    "op11_ranked_search": ranked_search.op11_ranked_search,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
     "op13_decontaminate": decontamination.op13_decontaminate,
 }
 ORACLE_SQL = {
@@ -20,5 +22,7 @@ ORACLE_SQL = {
     "op4_mix_sources": mixing.SQL,
     "op5_scan_secrets": secret_scan.SQL,
     "op8_url_filters": url_filters.SQL,
+    "op11_ranked_search": ranked_search.SQL,
+    "op12_merkle_manifest": merkle.SQL,
     "op13_decontaminate": decontamination.SQL,
 }
