@@ -94,12 +94,8 @@ def _local_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def close() -> None:
         levels = _levels(held, key[1], key[2], 0)
         for n, (at, nodes) in enumerate(levels):
-            total = _above(key[2], n)
-            if n == DEPTH or total == 1:
-                parents = range(0)
-            else:
-                parents = range(levels[n + 1][0], levels[n + 1][0] + len(levels[n + 1][1])) if n + 1 < len(levels) else range(0)
-            out.extend((key[0], n, at + i, total, x) for i, x in enumerate(nodes) if (at + i) // RUN not in parents)
+            built = range(levels[n + 1][0], levels[n + 1][0] + len(levels[n + 1][1])) if n + 1 < len(levels) else ()
+            out.extend((key[0], n, at + i, _above(key[2], n), x) for i, x in enumerate(nodes) if (at + i) // RUN not in built)
         held.clear()
 
     for batch in batches:
@@ -124,27 +120,26 @@ def _local_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _finish(nodes: pa.Table) -> pa.Table:
-    """All nodes below one place of the next round, of one or several levels -> that place's node."""
-    rows = sorted(zip(nodes.column("_level").to_pylist(), nodes.column("_at").to_pylist(), nodes.column("_total").to_pylist(), _hex(nodes.column("_node")), strict=True))
-    group, level, at, total, held = nodes.column("_group")[0].as_py(), 0, 0, 0, {}
-    for level_, at_, total_, node in rows:
-        held.setdefault(level_, {})[at_] = node
-        total = total_ if level_ == min(held) else total
-    level = min(held)
+    """The nodes of one subtree, of one or several levels and none below another -> the subtree's root."""
+    held: list[dict[int, str]] = [{} for _ in range(DEPTH + 1)]
+    levels, totals = nodes.column("_level").to_pylist(), nodes.column("_total").to_pylist()
+    for level, at, node in zip(levels, nodes.column("_at").to_pylist(), _hex(nodes.column("_node")), strict=True):
+        held[level][at] = node
+    level = min(levels)
+    total = totals[levels.index(level)]
     while level < DEPTH and total > 1:
-        children = sorted(held.get(level, {}).items())
-        parents: dict[int, list[str]] = {}
-        for at, node in children:
-            parents.setdefault(at // RUN, []).append(node)
-        held.setdefault(level + 1, {}).update((p, _joined(x)) for p, x in parents.items())
+        children: dict[int, list[str]] = {}
+        for at, node in sorted(held[level].items()):
+            children.setdefault(at // RUN, []).append(node)
+        held[level + 1].update((parent, _joined(x)) for parent, x in children.items())
         level, total = level + 1, -(-total // RUN)
-    (at, node), = held[level].items()
-    return pa.Table.from_batches([_node_batch([(group, level, at, total, node)])])
+    ((at, node),) = held[level].items()
+    return pa.Table.from_batches([_node_batch([(nodes.column("_group")[0].as_py(), level, at, total, node)])])
 
 
-def _block(level: Column | None = None) -> Column:
-    """The place that a node of a level below DEPTH has on level DEPTH."""
-    return F.col("_at").bitwiseAND(0) + F.floor(F.col("_at") / F.lit(SUBTREE)) if level is None else F.expr(f"shiftright(_at, {RUN.bit_length() - 1} * ({DEPTH} - _level))")
+def _block(level: str = "0") -> Column:
+    """The place that a node of a level up to DEPTH has on level DEPTH: the coordinate of its subtree."""
+    return F.expr(f"shiftright(_at, {RUN.bit_length() - 1} * ({DEPTH} - {level}))")
 
 
 def _steps_of(levels: list[tuple[int, list[str]]], at: int, total: int, n: int) -> tuple[list[str], list[str], int]:
@@ -164,7 +159,7 @@ def _steps_of(levels: list[tuple[int, list[str]]], at: int, total: int, n: int)
     return before, after, depth
 
 
-def _proofs(own: pa.Table, above: pa.Table) -> tuple[pa.Array, int]:
+def _proofs(own: pa.Table, above: pa.Table) -> pa.Array:
     """Proofs of the nodes of one subtree, sorted by place: their own levels and then those of the subtree's node."""
     at, total = own.column("_at")[0].as_py(), own.column("_total")[0].as_py()
     levels = _levels(_hex(own.column("_node")), at, total, 0)
@@ -176,7 +171,7 @@ def _proofs(own: pa.Table, above: pa.Table) -> tuple[pa.Array, int]:
         after = [x for i in range(own.num_rows) for x in (*after[i * depth : (i + 1) * depth], *upper[1])]
     each = depth + len(tail)
     steps = pa.StructArray.from_arrays([pa.array(before, pa.string()), pa.array(after, pa.string())], fields=list(_STEPS))
-    return pa.ListArray.from_arrays(pa.array(np.arange(own.num_rows + 1) * each, pa.int32()), steps), each
+    return pa.ListArray.from_arrays(pa.array(np.arange(own.num_rows + 1) * each, pa.int32()), steps)
 
 
 def _ranged(spark: SparkSession, leaves: DataFrame, by: list[str]) -> DataFrame:
@@ -199,7 +194,7 @@ def _rounds(spark: SparkSession, leaves: DataFrame) -> list[DataFrame]:
     local = leaves.select("_group", "_at", "_total", "_node").sortWithinPartitions("_group", "_at").mapInArrow(_local_nodes, _NODE)
     local = keep(spark, local)
     done = (F.col("_level") == DEPTH) | (F.col("_total") == 1)
-    ragged = local.where(~done).groupBy("_group", _block(F.col("_level")).alias("_up")).applyInArrow(_finish, _NODE)
+    ragged = local.where(~done).groupBy("_group", _block("_level").alias("_up")).applyInArrow(_finish, _NODE)
     rounds = [keep(spark, local.where(done).unionByName(ragged).withColumn("_level", F.lit(0)))]
     while (rounds[-1].agg(F.max("_total").alias("n")).first()["n"] or 0) > 1:
         rounds.append(keep(spark, rounds[-1].groupBy("_group", _block().alias("_up")).applyInArrow(_finish, _NODE).withColumn("_level", F.lit(0))))
@@ -213,7 +208,7 @@ def _proved(spark: SparkSession, nodes: DataFrame, above: DataFrame, extra: list
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         own = left.sort_by("_at")
-        return pa.Table.from_arrays([*(own.column(c) for c in names), _proofs(own, right)[0]], names=[*names, "_proof"])
+        return pa.Table.from_arrays([*(own.column(c) for c in names), _proofs(own, right)], names=[*names, "_proof"])
 
     left = nodes.select(*names, *["_node"] * ("_node" not in names)).withColumn("_up", _block())
     right = above.select("_group", F.col("_at").alias("_up"), "_proof")
@@ -253,10 +248,12 @@ def merkle_manifest(spark: SparkSession, rows: DataFrame, group_col: str = "lang
     tops = _ranged(spark, roots, ["_of"])
     upper = _rounds(spark, tops)
     proved = keep(spark, _tree(spark, tops, None, upper, ["_of", "_node"]).select(F.col("_of").alias("_group"), "_proof", F.col("_node").alias("_subroot")))
-    out = _tree(spark, leaves, proved.select("_group", "_proof"), rounds, ["_id", "_name", "_node", *names])
-    root = upper[-1].select(F.lower(F.hex("_node")).alias("root"))
-    out = out.join(proved.select("_group", F.lower(F.hex("_subroot")).alias("subroot")), "_group").join(F.broadcast(root))  # one row
-    return out.select(F.col("_id").alias(id_col), F.col("_name").alias(group_col), *(F.col(n).alias(c) for n, c in zip(names, carry, strict=True)), F.lower(F.hex("_node")).alias("leaf"), "subroot", "root", F.col("_proof").alias("proof"))
+    leaves = leaves.join(proved.select("_group", "_subroot"), "_group")
+    out = _tree(spark, leaves, proved.select("_group", "_proof"), rounds, ["_id", "_name", "_node", "_subroot", *names])
+    root = upper[-1].select(F.lower(F.hex("_node")).alias("root")).first()
+    hexed = lambda c: F.lower(F.hex(c))
+    kept = [F.col("_id").alias(id_col), F.col("_name").alias(group_col), *(F.col(n).alias(c) for n, c in zip(names, carry, strict=True))]
+    return out.select(*kept, hexed("_node").alias("leaf"), hexed("_subroot").alias("subroot"), F.lit(root["root"] if root else "").alias("root"), F.col("_proof").alias("proof"))
 
 
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
