@@ -8,7 +8,11 @@ from pyspark.sql import SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the session's spark.checkpoint.dir; set a folder of our own only where none is set."""
+    """Keep the session's spark.checkpoint.dir. Where it is unset, a local master gets a folder of its own; on a cluster each
+    machine would write to its own disk there, so that is an error."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="memloom-"))
+        set_to = spark.conf.get("spark.checkpoint.dir", None)
+        if not set_to and not context._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(set_to or tempfile.mkdtemp(prefix="memloom-"))
