@@ -339,3 +339,39 @@ def test_fingerprints_hold_all_anchors_with_places(spark):
     assert got[2]["near_next"] == pytest.approx(len(sets[1] & sets[2]) / len(sets[1] | sets[2])) and got[2]["near_next"] > 0
     plain = {r["doc_id"]: r for r in fingerprints.fingerprint(df, places_col="places").collect()}
     assert all(plain[i]["places"] == got[i]["places"] and plain[i]["fingerprint"] == got[i]["fingerprint"] for i in texts)
+
+
+def test_dense_groups_give_a_forest_of_links():
+    rng = np.random.default_rng(0)
+    v = rng.normal(size=64) / 8 + rng.normal(size=(700, 64)) * 0.026
+    v = np.concatenate([v, rng.normal(size=(60, 64))])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    tree, ones = cover_tree.CoverTree(v), np.ones(len(v))
+    more, also, links = cover_tree.dual_links(tree, tree, ones, ones, 0.93, True)
+    close = v @ v.T >= 0.93
+    np.fill_diagonal(close, False)
+    assert np.rint(more + also).astype(int).tolist() == close.sum(1).tolist() and close.sum() > 300_000
+    assert len(links) < len(v) and all(close[x, y] for x, y in links)
+    want = components(range(len(v)), [(int(x), int(y)) for x, y in np.argwhere(np.triu(close))])
+    assert components(range(len(v)), links) == want
+    half = cover_tree.CoverTree(v[:300]), cover_tree.CoverTree(v[300:])
+    left, right, across = cover_tree.dual_links(*half, ones[:300], ones[300:], 0.93, False)
+    assert left.tolist() == close[:300, 300:].sum(1).tolist() and right.tolist() == close[:300, 300:].sum(0).tolist()
+    assert len(across) < len(v) and all(close[x, 300 + y] for x, y in across)
+
+
+def test_vectors_of_extreme_sizes_link(spark):
+    rows = [(1, [1e200, 2e200, 3e200], 0), (2, [1e200, 2e200, 3e200], 0), (3, [1e-200, 2e-200, 3.0e-200], 0), (4, [5e-324, 1e-323, 1.5e-323], 0), (5, [0.0, -0.0, 0.0], 0), (6, [1e200, float("inf"), 1.0], 0)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in cover_tree.near_duplicates(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (0, 6)}
+
+
+def test_pieces_of_one_id_are_dealt_into_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 100)
+    pieces = spark.createDataFrame([(None, 0, 0, 300, 7)] * 1000, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    out = packing.pack(spark, pieces).collect()
+    groups = {}
+    for r in out:
+        groups.setdefault(r["sequence_id"] >> 32, []).append(r)
+    assert len(out) == 1000 and len(groups) == 10 and max(map(len, groups.values())) < 200
+    assert len({(r["sequence_id"], r["offset"]) for r in out}) == 1000
