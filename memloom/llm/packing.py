@@ -89,12 +89,14 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
 
 
 def pack(spark: SparkSession, pieces: DataFrame, size: int = SEQUENCE, id_col: str = "doc_id") -> DataFrame:
-    """Adds sequence_id and offset to pieces (id, piece, length and more). Pieces are dealt into groups by a hash, so no task
-    sees more than about GROUP of them, and packed from the longest to the shortest within each group.
+    """Adds sequence_id and offset to pieces (id, piece, length and more). Pieces are written once and dealt into groups by a
+    hash of id, piece and their place in what was written, so no task sees more than about GROUP of them even if all rows
+    repeat one id and piece; each group is packed from the longest to the shortest.
 
     Repeated ids and pieces are packed one by one, in a fixed order; null ids are packed like others. Lengths lie between 1
     and `size`. An empty table gives an empty table. Extra columns pass through.
     """
+    pieces = keep(spark, pieces)
     rows = pieces.count()
     groups = max(1, -(-rows // GROUP))
     schema = pieces.schema.simpleString()[len("struct<") : -1]
@@ -105,7 +107,7 @@ def pack(spark: SparkSession, pieces: DataFrame, size: int = SEQUENCE, id_col: s
         return pdf.assign(sequence_id=bins + (pdf["_memloom_group"].to_numpy(np.int64) << 32), offset=offsets).drop(columns=["_memloom_group", "_memloom_order"])
 
     order = F.xxhash64(id_col, "piece")
-    dealt = pieces.withColumn("_memloom_order", order).withColumn("_memloom_group", F.pmod(order, F.lit(groups)))
+    dealt = pieces.withColumn("_memloom_order", order).withColumn("_memloom_group", F.pmod(F.xxhash64(id_col, "piece", F.monotonically_increasing_id()), F.lit(groups)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
     return dealt.groupBy("_memloom_group").applyInPandas(run, f"{fields}, sequence_id long, offset long") if schema else pieces
 
@@ -113,7 +115,7 @@ def pack(spark: SparkSession, pieces: DataFrame, size: int = SEQUENCE, id_col: s
 def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, size: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise and pack: a row for each piece with its place. Null or empty text: one piece that holds END_ID alone.
     Repeated rows are packed as often as they occur; null ids are allowed; extra columns are not read."""
-    return pack(spark, keep(spark, tokenize_pieces(docs, tokenizer, size, id_col, text_col)), size, id_col)
+    return pack(spark, tokenize_pieces(docs, tokenizer, size, id_col, text_col), size, id_col)
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
