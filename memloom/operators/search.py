@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -50,10 +50,15 @@ def bm25(spark: SparkSession, rows: DataFrame, key: str, text: str, prefixes: Se
         .join(F.broadcast(asked), F.startswith("word", F.col("prefix")))
         .groupBy("id", "prefix").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     )
+    return bm25_of(hits.join(F.broadcast(corpus)), F.col("n"), F.col("mean"))  # one row
+
+
+def bm25_of(hits: DataFrame, n: Column, mean: Column) -> DataFrame:
+    """Scores from hits (id, prefix, tf, len), the number of rows and their mean length."""
     df = hits.groupBy("prefix").agg(F.count("*").alias("df"))
-    scored = hits.join(F.broadcast(df), "prefix").join(F.broadcast(corpus))
-    idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+    scored = hits.join(F.broadcast(df), "prefix")  # a row for each prefix
+    idf = F.greatest(F.lit(LEAST_IDF), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean))
     return scored.groupBy("id").agg(F.sum(part).alias("score"))
 
 

@@ -9,6 +9,7 @@ from memloom.functions import scoring as sc
 from memloom.functions.text import word_count, words
 from memloom.operators import analytics, graph, learning, pairs, search, stores, windows
 from memloom.plans.catalog import query
+from memloom.plans.indexes import text_index
 from memloom.plans.search_queries import BM25, STOPS, TF, W
 from memloom.plans.views import EPISODES, FACTS, FEEDBACK, LINKS, as_of, episodes, facts, feedback, links, table, with_views
 
@@ -140,7 +141,7 @@ def a29(spark, sf):
 @query("w01_rank_scores", with_views("SELECT id, round(1 - (row_number() OVER (ORDER BY round(score, 9) DESC, id) - 1) / ((SELECT count(*) FROM scored) + 1.0), 6)::DOUBLE AS score FROM scored", FACTS, BM25.replace("{prefixes}", "('sch'), ('the')")))
 def w01(spark, sf):
     """Places come from counts by score and within equal scores, so no task ranks all hits."""
-    hits = search.bm25(spark, facts(spark, sf), "id", "content", ["sch", "the"]).withColumn("_s", F.round("score", 9))
+    hits = text_index(spark, sf).bm25(["sch", "the"]).withColumn("_s", F.round("score", 9))
     n = hits.groupBy("_s").agg(F.count("*").alias("_c"))
     before = n.select("_s", (F.sum("_c").over(Window.orderBy(F.desc("_s"))) - F.col("_c")).alias("_before"), F.sum("_c").over(Window.partitionBy()).alias("_all"))
     place = F.col("_before") + F.row_number().over(Window.partitionBy("_s").orderBy("id"))

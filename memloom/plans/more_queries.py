@@ -11,8 +11,9 @@ from memloom.functions.fixed import EMOTIONS, SYNONYMS
 from memloom.functions.sentiment import with_sentiment
 from memloom.functions.temporal import parse
 from memloom.functions.text import jaccard, words
-from memloom.operators import conversations, graph, learning, search, stores, windows
+from memloom.operators import conversations, graph, learning, stores, windows
 from memloom.plans.catalog import query
+from memloom.plans.indexes import text_index
 from memloom.plans.search_queries import BM25, FRESH, W
 from memloom.plans.views import AS_OF, EPISODES, FACTS, LINKS, TOLD_FACTS, as_of, episodes, facts, links, table, told_facts, with_views
 
@@ -61,13 +62,13 @@ def j08(spark, sf):
 
 @query("q02_store_search", with_views("SELECT id, round(score, 6)::DOUBLE AS score FROM (SELECT id, score FROM scored ORDER BY round(score, 9) DESC, id LIMIT 30) h JOIN facts f USING (id) WHERE NOT is_superseded", FACTS, BM25.replace("{prefixes}", "('ver'), ('ción')")))
 def q02(spark, sf):
-    hits = search.bm25(spark, facts(spark, sf), "id", "content", ["ver", "ción"]).orderBy(F.desc(F.round("score", 9)), "id").limit(30)
+    hits = text_index(spark, sf).bm25(["ver", "ción"]).orderBy(F.desc(F.round("score", 9)), "id").limit(30)
     return facts(spark, sf).where("not is_superseded").join(hits, "id").select("id", r6(F.col("score")).alias("score"))
 
 
 @query("q07_preview", with_views(f"SELECT id, round({FRESH}, 6)::DOUBLE AS freshness, CASE WHEN category = 'creative' THEN 1.3 ELSE 1.0 END::DOUBLE AS boost, round(ln(1 + confirmation_count), 6)::DOUBLE AS confirmation FROM facts JOIN (SELECT id FROM scored) USING (id)", FACTS, BM25.replace("{prefixes}", "('ver')")))
 def q07(spark, sf):
-    hits = search.bm25(spark, facts(spark, sf), "id", "content", ["ver"]).select("id")
+    hits = text_index(spark, sf).bm25(["ver"]).select("id")
     fresh = sc.fact_freshness(sc.hours_between(F.col("last_confirmed"), as_of()), F.col("importance"), F.col("confirmation_count"))
     return facts(spark, sf).join(hits, "id").select("id", r6(fresh).alias("freshness"), F.when(F.col("category") == "creative", 1.3).otherwise(1.0).alias("boost"), r6(F.log1p("confirmation_count")).alias("confirmation"))
 

@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from memloom.functions import scoring as sc
 from memloom.functions.text import word_count
 from memloom.operators import search, windows
+from memloom.operators.postings import TextIndex
 from memloom.plans.views import as_of
 
 
-def budgeted_recall(spark: SparkSession, facts: DataFrame, query: str, topic: str | None, budget: int = 200, candidates: int = 50) -> DataFrame:
-    """Expand the query, find candidates by BM25, weigh them by freshness, confirmations and topic, drop repeated contents,
+def budgeted_recall(spark: SparkSession, facts: DataFrame, query: str, topic: str | None, budget: int = 200, candidates: int = 50, index: TextIndex | None = None) -> DataFrame:
+    """Expand the query, find candidates by BM25 (from a stored index of the facts, where there is one), weigh them by freshness, confirmations and topic, drop repeated contents,
     and keep the leading ones whose words fit the budget. The candidates, a top-k, bound what one task ranks."""
-    hits = search.bm25(spark, facts, "id", "content", search.expanded(query.split()))
+    asked = search.expanded(query.split())
+    hits = index.bm25(asked) if index else search.bm25(spark, facts, "id", "content", asked)
     hits = hits.orderBy(F.desc(F.round("score", 9)), "id").limit(candidates)
     age = sc.hours_between(F.col("last_confirmed"), as_of())
     weight = sc.fact_freshness(age, F.col("importance"), F.col("confirmation_count")) * F.when(F.col("category") == topic, 1.3).otherwise(1.0) * F.log1p("confirmation_count")

@@ -7,8 +7,9 @@ from pyspark.sql.window import Window
 
 from memloom.functions import scoring as sc
 from memloom.functions.sentiment import with_topic
-from memloom.operators import graph, learning, search, stores, windows
+from memloom.operators import graph, learning, stores, windows
 from memloom.plans.catalog import query
+from memloom.plans.indexes import text_index
 from memloom.plans.search_queries import BM25
 from memloom.plans.views import EPISODES, FACTS, FEEDBACK, LINKS, as_of, episodes, facts, feedback, links, table, with_views
 
@@ -19,7 +20,7 @@ def r6(c):
 
 @query("j01_text_join", with_views("SELECT id, fact_type, round(score, 6)::DOUBLE AS score FROM facts JOIN scored USING (id)", FACTS, BM25.replace("{prefixes}", "('esta'), ('der')")))
 def j01(spark, sf):
-    hits = search.bm25(spark, facts(spark, sf), "id", "content", ["esta", "der"])
+    hits = text_index(spark, sf).bm25(["esta", "der"])
     return facts(spark, sf).join(hits, "id").select("id", "fact_type", r6(F.col("score")).alias("score"))
 
 
@@ -68,7 +69,7 @@ def w03(spark, sf):
 
 @query("w07_normalised_relevance", with_views("SELECT id, round(score / (SELECT max(score) FROM scored), 6)::DOUBLE AS relevance FROM scored", FACTS, BM25.replace("{prefixes}", "('esta'), ('der')")))
 def w07(spark, sf):
-    hits = search.bm25(spark, facts(spark, sf), "id", "content", ["esta", "der"])
+    hits = text_index(spark, sf).bm25(["esta", "der"])
     return hits.join(F.broadcast(hits.agg(F.max("score").alias("_m")))).select("id", r6(F.col("score") / F.col("_m")).alias("relevance"))
 
 

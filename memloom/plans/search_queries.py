@@ -10,6 +10,7 @@ from memloom.functions.sentiment import with_sentiment, with_topic
 from memloom.functions.text import jaccard, terms, words
 from memloom.operators import analytics, graph, pairs, search, stores, windows
 from memloom.plans.catalog import query
+from memloom.plans.indexes import text_index
 from memloom.plans.recall import budgeted_recall
 from memloom.plans.views import EPISODES, FACTS, FEEDBACK, LINKS, TOLD_FACTS, as_of, episodes, facts, feedback, links, table, told_facts, with_views
 
@@ -39,7 +40,7 @@ scored AS (SELECT id, sum(greatest(1e-6, ln(((SELECT count(*) FROM sized) - df +
 
 @query("q01_bm25", with_views("SELECT id, round(score, 6)::DOUBLE AS score FROM scored", FACTS, BM25.replace('{prefixes}', "('sch'), ('then'), ('ment')")))
 def q01(spark, sf):
-    return search.bm25(spark, facts(spark, sf), "id", "content", ["sch", "then", "ment"]).select("id", r6(F.col("score")).alias("score"))
+    return text_index(spark, sf).bm25(["sch", "then", "ment"]).select("id", r6(F.col("score")).alias("score"))
 
 
 FRESH = f"""greatest(0, least(1, importance * pow(0.5, {HOURS} / (672.0 * (1 + importance * 2) * (1 + 0.5 * ln(1 + confirmation_count)) * (1 + 1.5 * 0.3) * (1 + 0.2 * (confirmation_count - 1)))) + 0.1))
@@ -51,7 +52,7 @@ FRESH = f"""greatest(0, least(1, importance * pow(0.5, {HOURS} / (672.0 * (1 + i
     SELECT f.id, f.content, round({FRESH} * CASE WHEN category = 'creative' THEN 1.3 ELSE 1.0 END * ln(1 + confirmation_count), 9)::DOUBLE AS score
     FROM facts f JOIN (SELECT id FROM scored ORDER BY round(score, 9) DESC, id LIMIT 50) h ON f.id = h.id WHERE NOT is_superseded)) WHERE n = 1) WHERE used <= 1000""", FACTS, BM25.replace('{prefixes}', "('hero'), ('th'), ('en'), ('champion'), ('warrior')")))
 def q05(spark, sf):
-    return budgeted_recall(spark, facts(spark, sf), "hero th en", "creative", 1000)
+    return budgeted_recall(spark, facts(spark, sf), "hero th en", "creative", 1000, index=text_index(spark, sf))
 
 
 @query("t01_exact_knn", """SELECT query, place, vec_id, round(score, 6)::DOUBLE AS score FROM (SELECT q.vec_id AS query, v.vec_id, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score,

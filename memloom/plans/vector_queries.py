@@ -9,6 +9,7 @@ from memloom.functions import scoring as sc
 from memloom.functions.text import words
 from memloom.operators import search, stores, vectors
 from memloom.plans.catalog import query
+from memloom.plans.indexes import text_index, vector_index
 from memloom.plans.search_queries import BM25, STOPS, TF, W, r6
 from memloom.plans.views import EPISODES, FACTS, as_of, episodes, facts, table, with_views
 
@@ -45,7 +46,8 @@ def _vector_hits(spark, sf, k):
     """The facts whose vectors are nearest to the vector of the first fact's words, itself among them."""
     f = facts(spark, sf)
     asked = f.where(F.size(F.filter(words(F.col("content")), lambda w: F.length(w) >= 2)) >= 3).orderBy("id").limit(1)
-    return vectors.nearest(vectors.tfidf(asked, "id", "content", f), vectors.tfidf(f, "id", "content"), k)
+    index = vector_index(spark, sf)
+    return index.nearest(index.embed(asked, "id", "content"), k)
 
 
 QVEC = "qvec AS (SELECT slot, w / sqrt(sum(w * w) OVER ()) AS weight FROM (SELECT " + SLOT + " AS slot, sum(n * idf) AS w FROM (SELECT w AS term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(content), '" + W + "')) AS w FROM first_text) WHERE length(w) >= 2 AND NOT list_contains((SELECT stop FROM stops), w) GROUP BY w) JOIN idf USING (term) GROUP BY 1))"
@@ -73,7 +75,7 @@ def t03(spark, sf):
 @query("j02_text_and_vector_hits", with_views("SELECT coalesce(t.id, v.id) AS id, round(coalesce(ts, 0), 6)::DOUBLE AS text_score, round(coalesce(vs, 0), 6)::DOUBLE AS vector_score, round(0.2 * coalesce(ts, 0) + 0.8 * coalesce(vs, 0), 6)::DOUBLE AS score FROM t FULL JOIN v ON t.id = v.id",
     *VECTORS, MERGED.format(k=2 * LIMIT, one="1.0")))
 def j02(spark, sf):
-    text = _limited(search.bm25(spark, facts(spark, sf), "id", "content", ASKED), 2 * LIMIT)
+    text = _limited(text_index(spark, sf).bm25(ASKED), 2 * LIMIT)
     out = vectors.merged(text, _vector_hits(spark, sf, 2 * LIMIT), 0.2, 0.8)
     return out.select("id", *(r6(F.col(c)).alias(c) for c in ("text_score", "vector_score", "score")))
 
@@ -90,7 +92,7 @@ def q03(spark, sf):
 
 def _decayed(spark, sf):
     f = facts(spark, sf)
-    text = _limited(search.bm25(spark, f, "id", "content", ASKED), 2 * LIMIT)
+    text = _limited(text_index(spark, sf).bm25(ASKED), 2 * LIMIT)
     out = vectors.merged(text, _vector_hits(spark, sf, 2 * LIMIT), 0.2, 0.8)
     days = sc.hours_between(F.col("last_confirmed"), as_of()) / 24
     fade = F.greatest(F.lit(0.1), F.exp(-0.01 / (1 + 0.5 * F.log1p("confirmation_count")) * days))
@@ -101,7 +103,7 @@ def _decayed(spark, sf):
 def q03_diverse(spark, sf):
     """The best LIMIT of the three times as many first candidates, chosen for score and difference."""
     pool = _limited(_decayed(spark, sf), 3 * LIMIT).select("id", "score")
-    own = vectors.dense(vectors.tfidf(facts(spark, sf), "id", "content").join(F.broadcast(pool.select("id")), "id"))  # a top-k
+    own = vectors.dense(vector_index(spark, sf).vectors().join(F.broadcast(pool.select("id")), "id"))  # a top-k
     return search.mmr(pool.join(own, "id").withColumn("query", F.lit(0)), "query", LIMIT).select("id", "place")
 
 
@@ -113,7 +115,7 @@ def q04(spark, sf):
 
 def _added(spark, sf):
     f = facts(spark, sf)
-    return vectors.added(_limited(search.bm25(spark, f, "id", "content", ASKED), LIMIT), _vector_hits(spark, sf, LIMIT), f.select("id", "content", "fact_type"))
+    return vectors.added(_limited(text_index(spark, sf).bm25(ASKED), LIMIT), _vector_hits(spark, sf, LIMIT), f.select("id", "content", "fact_type"))
 
 
 @query("j03_added_scores", with_views("SELECT f.id, fact_type, round(s, 6)::DOUBLE AS score FROM (SELECT id, sum(s) AS s FROM (SELECT id, 0.3 * ts AS s FROM t UNION ALL SELECT id, 0.7 * vs FROM v) GROUP BY id) m JOIN facts f ON f.id = m.id", *VECTORS, MERGED.format(k=LIMIT, one="0.0")))

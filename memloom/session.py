@@ -16,3 +16,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         if not set_to and not context._jsc.sc().isLocal():
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(set_to or tempfile.mkdtemp(prefix="memloom-"))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
