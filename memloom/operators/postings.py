@@ -69,10 +69,7 @@ class TextIndex:
 
     def _live(self, rows: DataFrame, version: int | None = None) -> DataFrame:
         gone = self.versions.read("gone", version, "_gone")
-        if gone is None:
-            return rows.drop("_of")
-        last = gone.groupBy("id").agg(F.max("_gone").alias("_gone"))
-        return rows.join(last, "id", "left").where("_gone is null or _of >= _gone").drop("_of", "_gone")
+        return rows.drop("_of") if gone is None else self.versions.without(rows, gone)
 
     def _change(self, ids: DataFrame, told: DataFrame | None) -> int:
         """Rows go, others come. What the index holds of them is counted out, so the statistics stay exact; a writer that

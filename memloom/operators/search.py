@@ -62,27 +62,6 @@ def bm25_of(hits: DataFrame, n: Column, mean: Column) -> DataFrame:
     return scored.groupBy("id").agg(F.sum(part).alias("score"))
 
 
-#: Queries that meet all rows at once; more queries make more blocks.
-QUERY_BLOCK = 4_096
-
-
-def cosine_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """For each query the k rows of greatest cosine. Queries meet all rows in blocks of about QUERY_BLOCK, each small enough to
-    be sent to where the rows are; each task keeps the k best before anything is shuffled. Zero vectors score 0."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    rows = vectors.select("vec_id", "label", "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("_n"))
-    asked = queries.select(F.col("vec_id").alias("query"), F.col("embedding").alias("_q"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("_qn"))
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    out = None
-    for b in range(blocks):
-        block = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b) if blocks > 1 else asked
-        scored = rows.join(F.broadcast(block)).withColumn("score", F.when(F.col("_n") * F.col("_qn") > 0, dot(F.col("embedding"), F.col("_q")) / (F.col("_n") * F.col("_qn"))).otherwise(0.0))
-        w = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "vec_id")
-        best = scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("query", "place", "vec_id", "score")
-        out = best if out is None else out.unionAll(best)
-    return out
-
-
 def hybrid(text_hits: DataFrame, vector_hits: DataFrame, text_weight: float = 0.2, vector_weight: float = 0.8) -> DataFrame:
     """Merge ranked hits (id, place) of either kind: a place i of n counts 1 - i / (n + 1), a missing one 0."""
     n = lambda hits: hits.agg(F.count("*").alias("_n"))

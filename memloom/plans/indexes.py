@@ -6,8 +6,9 @@ import hashlib
 
 from pyspark.sql import SparkSession
 
+from memloom.operators.nearest import CellIndex
 from memloom.operators.postings import TextIndex, VectorIndex
-from memloom.plans.views import facts
+from memloom.plans.views import facts, table
 from memloom.session import shared_dir
 
 
@@ -19,17 +20,28 @@ def _stamp(spark: SparkSession, path: str) -> str:
     return hashlib.sha256(repr(files).encode()).hexdigest()[:24]
 
 
-def _of(kind, spark: SparkSession, sf: str, name: str):
-    index = kind(spark, f"{shared_dir(spark)}/index-{name}-{_stamp(spark, f'{sf}/conversations.parquet')}")
-    if not index.built:
-        index.build(facts(spark, sf), "id", "content")
-    return index
+def _of(kind, spark: SparkSession, sf: str, name: str, source: str = "conversations"):
+    return kind(spark, f"{shared_dir(spark)}/index-{name}-{_stamp(spark, f'{sf}/{source}.parquet')}")
 
 
 def text_index(spark: SparkSession, sf: str) -> TextIndex:
     """The postings of the facts' contents."""
-    return _of(TextIndex, spark, sf, "text")
+    index = _of(TextIndex, spark, sf, "text")
+    if not index.built:
+        index.build(facts(spark, sf), "id", "content")
+    return index
 
 
 def vector_index(spark: SparkSession, sf: str) -> VectorIndex:
-    return _of(VectorIndex, spark, sf, "vectors")
+    index = _of(VectorIndex, spark, sf, "vectors")
+    if not index.built:
+        index.build(facts(spark, sf), "id", "content")
+    return index
+
+
+def cell_index(spark: SparkSession, sf: str) -> CellIndex:
+    """The embeddings by cells."""
+    index = _of(CellIndex, spark, sf, "cells", "embeddings")
+    if not index.built:
+        index.build(table(spark, sf, "embeddings"))
+    return index

@@ -8,7 +8,7 @@ from memloom.functions import fixed, rules
 from memloom.functions import scoring as sc
 from memloom.functions.sentiment import with_sentiment, with_topic
 from memloom.functions.text import jaccard, terms, words
-from memloom.operators import analytics, graph, pairs, search, stores, windows
+from memloom.operators import analytics, graph, nearest, pairs, search, stores, windows
 from memloom.plans.catalog import query
 from memloom.plans.indexes import text_index
 from memloom.plans.recall import budgeted_recall
@@ -59,13 +59,13 @@ def q05(spark, sf):
   row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) DESC, v.vec_id) AS place FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0) WHERE place <= 10""")
 def t01(spark, sf):
     v = table(spark, sf, "embeddings")
-    return search.cosine_top(v, v.where("vec_id % 100 = 0"), 10).select("query", F.col("place").cast("long").alias("place"), "vec_id", r6(F.col("score")).alias("score"))
+    return nearest.cosine_top(v, v.where("vec_id % 100 = 0"), 10).select("query", F.col("place").cast("long").alias("place"), "vec_id", r6(F.col("score")).alias("score"))
 
 
 @query("t04_mmr")
 def t04(spark, sf):
     v = table(spark, sf, "embeddings")
-    near = search.cosine_top(v, v.where("vec_id % 100 = 0"), 30).join(v.select("vec_id", "embedding"), "vec_id")
+    near = nearest.cosine_top(v, v.where("vec_id % 100 = 0"), 30).join(v.select("vec_id", "embedding"), "vec_id")
     return search.mmr(near.select("query", F.col("vec_id").alias("id"), "score", F.col("embedding").alias("vector")), "query", 10)
 
 

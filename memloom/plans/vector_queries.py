@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 from memloom.functions import scoring as sc
 from memloom.functions.text import words
 from memloom.operators import search, stores, vectors
-from memloom.plans.catalog import query
-from memloom.plans.indexes import text_index, vector_index
+from memloom.plans.catalog import ORACLE_SQL, query
+from memloom.plans.indexes import cell_index, text_index, vector_index
 from memloom.plans.search_queries import BM25, STOPS, TF, W, r6
 from memloom.plans.views import EPISODES, FACTS, as_of, episodes, facts, table, with_views
 
@@ -62,6 +62,21 @@ def t02(spark, sf):
     return _vector_hits(spark, sf, 25).select(F.col("place").cast("long").alias("place"), "id", r6(vectors.distance_score(F.col("score"))).alias("score"))
 
 
+@query("t02_indexed_nearest", ORACLE_SQL["t01_exact_knn"])
+def t02_indexed(spark, sf):
+    """The nearest embeddings of each hundredth one through the cells of the stored index, exactly: the cells' radii are bounds."""
+    index = cell_index(spark, sf)
+    return index.search(table(spark, sf, "embeddings").where("vec_id % 100 = 0"), 10).select("query", F.col("place").cast("long").alias("place"), "vec_id", r6(F.col("score")).alias("score"))
+
+
+@query("t02_approximate_nearest")
+def t02_approximate(spark, sf):
+    """The same from the cells of a few centers, as many as the index was tuned to visit."""
+    index = cell_index(spark, sf)
+    found = index.search(table(spark, sf, "embeddings").where("vec_id % 100 = 0"), 10, index.versions.entry()["meta"]["probes"])
+    return found.select("query", F.col("place").cast("long").alias("place"), "vec_id", r6(F.col("score")).alias("score"))
+
+
 @query("t03_vector_store", """SELECT label, count(*) AS n, sum(vec_id)::BIGINT AS ids, sum(new)::BIGINT AS replaced FROM (
   SELECT vec_id, label, 0 AS new FROM embeddings WHERE vec_id % 10 <> 3 AND vec_id % 7 <> 2 UNION ALL SELECT vec_id, 100 + label, 1 FROM embeddings WHERE vec_id % 10 = 3 AND vec_id % 7 <> 2) GROUP BY label""")
 def t03(spark, sf):

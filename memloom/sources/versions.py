@@ -109,6 +109,18 @@ class Versions:
         frames = [self.spark.read.parquet(p).withColumns({number: F.lit(n)} if number else {}) for p, n in self.parts(kind, version)]
         return reduce(DataFrame.unionByName, frames) if frames else None
 
+    def live(self, kind: str, version: int | None = None, id_col: str = "id") -> DataFrame | None:
+        """The rows of a kind, but for those whose id a later commit names in its part "gone"."""
+        rows, gone = self.read(kind, version, "_of"), self.read("gone", version, "_gone")
+        if rows is None or gone is None:
+            return None if rows is None else rows.drop("_of")
+        return self.without(rows, gone, id_col)
+
+    @staticmethod
+    def without(rows: DataFrame, gone: DataFrame, id_col: str = "id") -> DataFrame:
+        last = gone.groupBy(F.col(id_col).alias("_gone_id")).agg(F.max("_gone").alias("_gone"))
+        return rows.join(last, F.col(id_col) == F.col("_gone_id"), "left").where("_gone is null or _of >= _gone").drop("_of", "_gone", "_gone_id")
+
     def changes(self, kind: str, after: int, number: str = "version") -> DataFrame | None:
         """What commits after a version have added, each once, with their numbers; rows that a later version dropped included."""
         seen = {folder: n for v in self.numbers() if v > after for k, folder, n in self.entry(v)["parts"] if k == kind and n > after}
