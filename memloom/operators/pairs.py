@@ -65,23 +65,46 @@ def similar_pairs(rows: DataFrame, key: str, text: str, threshold: float) -> Dat
     return sums.withColumn("similarity", pair_cosine(F.col("dot"), F.col("sa"), F.col("sb"), F.col("n_a"), F.col("n_b"))).where(F.col("similarity") > threshold).select("a", "b", "similarity")
 
 
+#: Sets that hold one term and meet in one task; more of them are dealt over several by salts.
+HOT = 20_000
+
+
 def overlapping_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """Candidates a < b that hold every pair of rows (id, w: distinct words) whose word sets have a Jaccard likeness of at least
-    the threshold: such sets share a word among the rarest n - ceil(threshold * n) + 1 of either's n words."""
-    n = F.size("w")
-    ranked = sets.select("id", n.alias("n"), F.explode("w").alias("term"))
-    ranked = ranked.join(ranked.groupBy("term").agg(F.count("*").alias("df")), "term").where("df > 1 or n = 1")
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("df"), F.desc("term")))  # from the most frequent on
-    prefix = ranked.withColumn("_place", place).where(F.col("_place") >= F.ceil(F.lit(threshold) * F.col("n") - 1e-9)).select("id", "n", "term")
-    a, b = (prefix.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), "term") for k in "ab")
-    fits = F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9
-    return a.join(b, "term").where(F.col("a") < F.col("b")).where(fits).select("a", "b").distinct()
-
-
-def opposite_pairs(sets: DataFrame, opposites: Sequence[tuple[str, str]]) -> DataFrame:
-    """Pairs a < b of rows (id, w) of which one holds a word and the other its opposite."""
-    held = sets.select("id", F.explode("w").alias("term")).where(F.col("term").isin(sorted({x for p in opposites for x in p})))
+    the threshold.
+
+    Equal sets are compared once, under their least id. Two like sets share a word among the rarest n - ceil(threshold * n) + 1
+    of either's n words, so these prefixes alone meet; and the rarest word that they share has, with all more frequent ones,
+    enough words left on either side for the overlap that both sizes ask for. Terms of many sets are dealt by salts.
+    """
+    keyed = sets.select("id", "w", F.sha2(F.array_join(F.array_sort("w"), " "), 256).alias("_key"))
+    once = keyed.groupBy("_key").agg(F.min("id").alias("_set"), F.first("w").alias("w"), F.count("*").alias("_copies"))
+    ranked = once.select("_set", F.size("w").alias("n"), F.explode("w").alias("term"))
+    ranked = ranked.join(ranked.groupBy("term").agg(F.count("*").alias("df")), "term").where("df > 1")
+    left = F.row_number().over(Window.partitionBy("_set").orderBy(F.desc("df"), F.desc("term")))  # this word and all more frequent ones
+    prefix = ranked.withColumn("_left", left).where(F.col("_left") >= F.ceil(F.lit(threshold) * F.col("n") - 1e-9))
+    salts = F.ceil(F.col("df") / HOT).cast("int")
+    a = prefix.select(F.col("_set").alias("_a"), F.col("n").alias("_na"), F.col("_left").alias("_la"), "term", F.pmod(F.xxhash64("_set"), salts).cast("int").alias("_salt"))
+    b = prefix.select(F.col("_set").alias("_b"), F.col("n").alias("_nb"), F.col("_left").alias("_lb"), "term", F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"))
+    needed = F.lit(threshold / (1 + threshold)) * (F.col("_na") + F.col("_nb")) - 1e-9
+    met = a.join(b, ["term", "_salt"]).where((F.col("_a") < F.col("_b")) & (F.least("_la", "_lb") >= needed)).select("_a", "_b").distinct()
+    copies = keyed.join(once.where("_copies > 1").select("_key", "_set"), "_key").select("_set", "id")  # sets that several rows hold
+    members = once.where("_copies = 1").select("_set", F.col("_set").alias("id")).unionByName(copies)
+    member = lambda key, name: members.select(F.col("_set").alias(key), F.col("id").alias(name))
+    across = met.join(member("_a", "x"), "_a").join(member("_b", "y"), "_b")
+    within = copies.withColumnRenamed("id", "x").join(copies.withColumnRenamed("id", "y"), "_set").where("x < y")
+    return across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(within.select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
+def holders(sets: DataFrame, opposites: Sequence[tuple[str, str]]) -> DataFrame:
+    """The rows that hold a word which has an opposite."""
+    return sets.where(F.arrays_overlap("w", F.array(*map(F.lit, sorted({x for p in opposites for x in p})))))
+
+
+def opposite_pairs(sets: DataFrame, opposites: Sequence[tuple[str, str]], same: Sequence[str] = ()) -> DataFrame:
+    """Pairs a < b of rows (id, w) of which one holds a word and the other its opposite, alike in the columns `same`."""
+    held = sets.select("id", *same, F.explode("w").alias("term")).where(F.col("term").isin(sorted({x for p in opposites for x in p})))
     others = {x: sorted({q for p, q in opposites if p == x} | {p for p, q in opposites if q == x}) for x in {x for p in opposites for x in p}}
     other = F.create_map(*(v for x in sorted(others) for v in (F.lit(x), F.array(*map(F.lit, others[x])))))
-    asked = held.select(F.col("id").alias("a"), F.explode(other[F.col("term")]).alias("term"))
-    return asked.join(held.withColumnRenamed("id", "b"), "term").where("a < b").select("a", "b").distinct()
+    asked = held.select(F.col("id").alias("a"), *same, F.explode(other[F.col("term")]).alias("term"))
+    return asked.join(held.withColumnRenamed("id", "b"), ["term", *same]).where("a < b").select("a", "b").distinct()

@@ -9,10 +9,10 @@ from memloom.functions import scoring as sc
 from memloom.functions.sentiment import with_sentiment, with_topic
 from memloom.functions.text import jaccard, terms, words
 from memloom.operators import analytics, graph, nearest, pairs, search, stores, windows
-from memloom.plans.catalog import query
+from memloom.plans.catalog import ORACLE_SQL, query
 from memloom.plans.indexes import text_index
 from memloom.plans.recall import budgeted_recall
-from memloom.plans.views import EPISODES, FACTS, FEEDBACK, LINKS, TOLD_FACTS, as_of, episodes, facts, feedback, links, table, told_facts, with_views
+from memloom.plans.views import EPISODES, FACTS, FEEDBACK, LINKS, STATED_FACTS, as_of, episodes, facts, feedback, links, stated_facts, table, with_views
 
 W = r"[\p{L}\p{N}_]+"
 STOPS = "stops AS (SELECT ['" + "','".join(fixed.STOP_WORDS) + "'] AS stop)"
@@ -309,7 +309,7 @@ WORDS = f"ws AS (SELECT id, fact_type, category, is_superseded, source_episode,
 
 def _fact_pairs(spark, sf):
     """Pairs of facts of one conversation, the block in which relationships are sought; a conversation is a bounded group."""
-    f = told_facts(spark, sf).select("id", "fact_type", "category", "is_superseded", "source_episode", F.array_distinct(words(F.col("content"))).alias("w"))
+    f = stated_facts(spark, sf).select("id", "fact_type", "category", "is_superseded", "source_episode", F.array_distinct(words(F.col("content"))).alias("w"))
     side = lambda k: f.select("source_episode", *(F.col(c).alias(f"{k}_{c}") for c in ("id", "fact_type", "category", "is_superseded", "w")))
     return side("a").join(side("b"), "source_episode").where("a_id < b_id")
 
@@ -317,7 +317,7 @@ def _fact_pairs(spark, sf):
 @query("x11_contradictions", with_views(f"""SELECT a, b, round(least(1.0, score), 6)::DOUBLE AS confidence FROM (SELECT a.id AS a, b.id AS b, {OVER} AS o, a.category = b.category AS topic,
   CASE WHEN {OVER} >= 0.25 AND list_has_any(a.w, n) <> list_has_any(b.w, n) THEN 0.35 ELSE 0 END + CASE WHEN {' OR '.join(f"(list_contains(a.w, '{x}') AND list_contains(b.w, '{y}')) OR (list_contains(a.w, '{y}') AND list_contains(b.w, '{x}'))" for x, y in fixed.OPPOSITES)} THEN 0.35 ELSE 0 END
   + CASE WHEN a.fact_type = b.fact_type AND a.category = b.category THEN 0.15 ELSE 0 END + CASE WHEN (a.is_superseded OR b.is_superseded) AND {OVER} >= 0.2 THEN 0.2 ELSE 0 END AS score
-  FROM ws a JOIN ws b ON a.source_episode = b.source_episode AND a.id < b.id, (SELECT ['{"','".join(n.replace("'", "''") for n in fixed.NEGATIONS)}'] AS n)) WHERE (o >= 0.15 OR topic) AND score >= 0.3""", TOLD_FACTS, WORDS))
+  FROM ws a JOIN ws b ON a.source_episode = b.source_episode AND a.id < b.id, (SELECT ['{"','".join(n.replace("'", "''") for n in fixed.NEGATIONS)}'] AS n)) WHERE (o >= 0.15 OR topic) AND score >= 0.3""", STATED_FACTS, WORDS))
 def x11(spark, sf):
     p = _fact_pairs(spark, sf)
     c = rules.contradiction(F.col("a_w"), F.col("b_w"), F.col("a_category") == F.col("b_category"), F.col("a_fact_type") == F.col("b_fact_type"), F.col("a_is_superseded") | F.col("b_is_superseded"))
@@ -326,35 +326,50 @@ def x11(spark, sf):
 
 @query("x12_elaborations", with_views(f"""SELECT a, b, round(least(1.0, score), 6)::DOUBLE AS confidence FROM (SELECT a.id AS a, b.id AS b, {OVER} AS o,
   CASE WHEN least(len(a.w), len(b.w)) > 0 AND len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) >= 0.6 AND greatest(len(a.w), len(b.w)) / least(len(a.w), len(b.w)) >= 1.3 THEN 0.4 ELSE 0 END + CASE WHEN a.category = b.category THEN 0.2 ELSE 0 END
-  + CASE WHEN a.fact_type = b.fact_type THEN 0.1 ELSE 0 END + CASE WHEN abs(len(a.w)::INT - len(b.w)::INT) / greatest(len(a.w), len(b.w), 1) > 0.3 THEN 0.15 ELSE 0 END AS score FROM ws a JOIN ws b ON a.source_episode = b.source_episode AND a.id < b.id) WHERE o >= 0.2 AND score >= 0.3""", TOLD_FACTS, WORDS))
+  + CASE WHEN a.fact_type = b.fact_type THEN 0.1 ELSE 0 END + CASE WHEN abs(len(a.w)::INT - len(b.w)::INT) / greatest(len(a.w), len(b.w), 1) > 0.3 THEN 0.15 ELSE 0 END AS score FROM ws a JOIN ws b ON a.source_episode = b.source_episode AND a.id < b.id) WHERE o >= 0.2 AND score >= 0.3""", STATED_FACTS, WORDS))
 def x12(spark, sf):
     p = _fact_pairs(spark, sf)
     c = rules.elaboration(F.col("a_w"), F.col("b_w"), F.col("a_category") == F.col("b_category"), F.col("a_fact_type") == F.col("b_fact_type"))
     return p.withColumn("confidence", r6(c)).where("confidence is not null").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "confidence")
 
 
-def _related(spark, sf, more=()):
-    """Pairs of facts of the whole table that a rule may relate: a word likeness of 0.2, or words of opposite meaning."""
-    f = facts(spark, sf).select("id", "fact_type", "category", "is_superseded", F.array_distinct(words(F.col("content"))).alias("w"))
-    found = pairs.overlapping_pairs(f, 0.2)
-    found = found.union(pairs.opposite_pairs(f, more)).distinct() if more else found
+def _every(name: str) -> str:
+    """The SQL of a rule over all pairs of facts, from that over the pairs of a conversation."""
+    return ORACLE_SQL[name].replace("a.source_episode = b.source_episode AND a.id < b.id", "a.id < b.id")
+
+
+def _related(f, candidates):
     side = lambda k: f.select(F.col("id").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("fact_type", "category", "is_superseded", "w")))
-    return found.join(side("a"), "a").join(side("b"), "b")
+    return candidates.join(side("a"), "a").join(side("b"), "b")
+
 
+def _stated_sets(spark, sf):
+    return stated_facts(spark, sf).select("id", "fact_type", "category", "is_superseded", F.array_distinct(words(F.col("content"))).alias("w"))
 
-@query("x11_contradictions_of_all_facts")
+
+@query("x11_contradictions_of_all_facts", _every("x11_contradictions"))
 def x11_all(spark, sf):
-    """No rule but that of opposites reaches 0.3 below a likeness of 0.2, so the candidates lose no pair."""
-    p = _related(spark, sf, fixed.OPPOSITES)
+    """Contradictions among all facts. The rule's parts reach 0.3 only from a likeness of 0.2 on, but for words of opposite
+    meaning: these count from 0.15 on or within a topic. So the candidates lose no pair."""
+    f = _stated_sets(spark, sf)
+    held = pairs.holders(f, fixed.OPPOSITES)
+    found = pairs.overlapping_pairs(f, 0.2).union(pairs.overlapping_pairs(held, 0.15)).union(pairs.opposite_pairs(f, fixed.OPPOSITES, ("category",))).distinct()
     c = rules.contradiction(F.col("a_w"), F.col("b_w"), F.col("a_category") == F.col("b_category"), F.col("a_fact_type") == F.col("b_fact_type"), F.col("a_is_superseded") | F.col("b_is_superseded"))
-    return p.withColumn("confidence", r6(c)).where("confidence is not null").select("a", "b", "confidence")
+    return _related(f, found).withColumn("confidence", r6(c)).where("confidence is not null").select("a", "b", "confidence")
 
 
-@query("x12_elaborations_of_all_facts")
+@query("x12_elaborations_of_all_facts", _every("x12_elaborations"))
 def x12_all(spark, sf):
-    p = _related(spark, sf)
+    """Elaborations among all facts: the rule asks for a likeness of 0.2."""
+    f = _stated_sets(spark, sf)
     c = rules.elaboration(F.col("a_w"), F.col("b_w"), F.col("a_category") == F.col("b_category"), F.col("a_fact_type") == F.col("b_fact_type"))
-    return p.withColumn("confidence", r6(c)).where("confidence is not null").select("a", "b", "confidence")
+    return _related(f, pairs.overlapping_pairs(f, 0.2)).withColumn("confidence", r6(c)).where("confidence is not null").select("a", "b", "confidence")
+
+
+@query("j07_relations_of_all_facts", f"SELECT a, b, 'contradicts' AS kind, confidence FROM ({_every('x11_contradictions')}) UNION ALL SELECT a, b, 'elaborates', confidence FROM ({_every('x12_elaborations')})")
+def j07_all(spark, sf):
+    """Pairs of facts of the whole table by both rules, each pair once for a kind, the lesser id first."""
+    return x11_all(spark, sf).withColumn("kind", F.lit("contradicts")).unionByName(x12_all(spark, sf).withColumn("kind", F.lit("elaborates"))).select("a", "b", "kind", "confidence")
 
 
 @query("a03_link_kinds", with_views("SELECT kind, count(*) AS n, count(DISTINCT source) AS sources FROM links GROUP BY kind", LINKS))

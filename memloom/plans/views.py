@@ -51,8 +51,8 @@ FACTS = """facts AS (
   FROM (SELECT conv_id * 1000 + turn AS id, coalesce(text, '') AS content, conv_id AS source_episode FROM conversations))"""
 
 
-#: Statements of the kinds that rules look for; neighbours contradict, elaborate or follow each other. Each fifth message keeps
-#: its own text behind the statement.
+#: Statements of the kinds that rules look for, which the messages' own words hold none of; neighbours contradict, elaborate or
+#: follow each other. They stand before the messages' whole texts.
 STATEMENTS = (
     "My name is Anna Berg and I'm 34 years old.", "I live in Paris, France.", "I work as a nurse, mostly nights.", "I have 2 cats and a garden.", "I've been painting for 10 years.",
     "I really like green tea and long walks.", "I never really like green tea and long walks.", "My favorite is dark chocolate.", "I'm a fan of old trains.", "I don't like cold coffee.", "I hate loud rooms!",
@@ -63,12 +63,24 @@ _STATEMENTS_SQL = "[" + ", ".join("'" + s.replace("'", "''") + "'" for s in STAT
 
 
 def told_facts(spark: SparkSession, sf: str) -> DataFrame:
-    """The facts with a statement before each text, so that rules of extraction and relation meet what they look for."""
+    """The facts with a statement before each whole text, so that rules of extraction and relation meet what they look for."""
     f = facts(spark, sf)
-    return f.withColumn("content", F.concat_ws(" ", _pick(STATEMENTS, F.col("id") + F.floor(F.col("id") / 1000)), F.when(F.col("id") % 5 == 0, F.col("content"))))
+    return f.withColumn("content", F.concat(_pick(STATEMENTS, F.col("id") + F.floor(F.col("id") / 1000)), F.lit(" "), F.col("content")))
 
 
-TOLD_FACTS = FACTS.replace("SELECT id, content, source_episode", f"SELECT id, {_STATEMENTS_SQL}[(id + id // 1000) % 16 + 1] || CASE WHEN id % 5 = 0 THEN ' ' || content ELSE '' END AS content, source_episode", 1)
+TOLD_FACTS = FACTS.replace("SELECT id, content, source_episode", f"SELECT id, {_STATEMENTS_SQL}[(id + id // 1000) % 16 + 1] || ' ' || content AS content, source_episode", 1)
+
+
+def stated_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """All facts, and the statements of each fourth conversation as short facts of their own, so that rules over pairs of facts
+    meet some that repeat, contradict, elaborate or follow each other."""
+    f = facts(spark, sf)
+    own = f.where("source_episode % 4 = 0").withColumns({"id": F.col("id") + 1_000_000_000, "content": _pick(STATEMENTS, F.col("id") + F.floor(F.col("id") / 1000))})
+    return f.unionByName(own)
+
+
+STATED_FACTS = FACTS.replace("facts AS (", "facts AS (WITH plain AS (", 1)[:-1] + f""")
+  SELECT * FROM plain UNION ALL SELECT * REPLACE (id + 1000000000 AS id, {_STATEMENTS_SQL}[(id + id // 1000) % 16 + 1] AS content) FROM plain WHERE source_episode % 4 = 0)"""
 
 
 def episodes(spark: SparkSession, sf: str) -> DataFrame:

@@ -12,7 +12,7 @@ from memloom.operators import conversations, extraction, learning, pairs, stores
 from memloom.plans.catalog import ORACLE_SQL, query
 from memloom.plans.search_queries import STOPS, TF, W, fact_duplicates, r6
 from memloom.plans.vector_queries import IDF, VEC
-from memloom.plans.views import EPISODES, FACTS, TOLD_FACTS, as_of, episodes, facts, table, told_facts, with_views
+from memloom.plans.views import EPISODES, FACTS, STATED_FACTS, TOLD_FACTS, as_of, episodes, facts, stated_facts, table, told_facts, with_views
 
 
 def _q(text: str) -> str:
@@ -248,9 +248,9 @@ def _sequence_sql() -> str:
 S = f"s AS (SELECT id, source_episode, category, content, first_learned, list_distinct(regexp_extract_all(lower(content), '{W}')) AS w, regexp_matches(content, {_q('(?i)' + fixed.PAST)}) AS past, regexp_matches(content, {_q('(?i)' + fixed.PRESENT)}) AS present, list_min(list_transform(regexp_extract_all(content, '\\b((?:19|20)\\d{{2}})\\b', 1), lambda y: y::INT)) AS y FROM facts)"
 
 
-@query("x13_sequences", with_views(_sequence_sql(), TOLD_FACTS, S))
+@query("x13_sequences", with_views(_sequence_sql(), STATED_FACTS, S))
 def x13(spark, sf):
-    f = told_facts(spark, sf).select("id", "source_episode", "category", "content", "first_learned", F.array_distinct(words(F.col("content"))).alias("w"))
+    f = stated_facts(spark, sf).select("id", "source_episode", "category", "content", "first_learned", F.array_distinct(words(F.col("content"))).alias("w"))
     side = lambda k: f.select("source_episode", *(F.col(c).alias(f"{k}_{c}") for c in ("id", "category", "content", "first_learned", "w")))
     both = side("a").join(side("b"), "source_episode").where("a_id < b_id")
     c = lambda n: F.col(n)
@@ -280,10 +280,10 @@ def j07(spark, sf):
     return _relations(spark, sf)
 
 
-@query("r15_stored_relations", f"WITH {TOLD_FACTS}, top AS (SELECT id FROM facts ORDER BY importance DESC, id LIMIT 200) SELECT a, b, max(confidence) AS confidence, string_agg(kind, ',' ORDER BY kind) AS kinds FROM ({_related_sql()}) WHERE a IN (SELECT id FROM top) AND b IN (SELECT id FROM top) GROUP BY a, b")
+@query("r15_stored_relations", f"WITH {STATED_FACTS}, top AS (SELECT id FROM facts ORDER BY importance DESC, id LIMIT 200) SELECT a, b, max(confidence) AS confidence, string_agg(kind, ',' ORDER BY kind) AS kinds FROM ({_related_sql()}) WHERE a IN (SELECT id FROM top) AND b IN (SELECT id FROM top) GROUP BY a, b")
 def r15(spark, sf):
     """Relations among the 200 most important facts, stored as one row for each pair."""
-    top = facts(spark, sf).orderBy(F.desc("importance"), "id").limit(200).select("id")
+    top = stated_facts(spark, sf).orderBy(F.desc("importance"), "id").limit(200).select("id")
     found = _relations(spark, sf).join(top.withColumnRenamed("id", "a"), "a", "left_semi").join(top.withColumnRenamed("id", "b"), "b", "left_semi")
     return found.groupBy("a", "b").agg(F.max("confidence").alias("confidence"), F.array_join(F.array_sort(F.collect_list("kind")), ",").alias("kinds"))
 
@@ -322,10 +322,10 @@ def j06(spark, sf):
 
 
 @query("j20_compacted", with_views("""SELECT a.id FROM f a WHERE EXISTS (SELECT 1 FROM f b WHERE b.id <> a.id AND len(list_intersect(a.w, b.w)) >= 0.8 * len(list_distinct(list_concat(a.w, b.w))) AND len(a.w) > 0 AND (b.confidence > a.confidence OR (b.confidence = a.confidence AND b.id < a.id)))""",
-    TOLD_FACTS, "f AS (SELECT id, confidence, list_distinct(list_filter(string_split_regex(lower(content), '\\s+'), lambda w: w <> '')) AS w FROM facts WHERE NOT is_superseded)"))
+    STATED_FACTS, "f AS (SELECT id, confidence, list_distinct(list_filter(string_split_regex(lower(content), '\\s+'), lambda w: w <> '')) AS w FROM facts WHERE NOT is_superseded)"))
 def j20(spark, sf):
     """Facts that a like one of more confidence (then of lesser id) supersedes: words alike by 0.8. Equal word sets meet once."""
-    f = told_facts(spark, sf).where("not is_superseded").select("id", "confidence", F.array_sort(F.array_distinct(F.filter(F.split(F.lower("content"), r"\s+"), lambda w: w != ""))).alias("w")).where(F.size("w") > 0)
+    f = stated_facts(spark, sf).where("not is_superseded").select("id", "confidence", F.array_sort(F.array_distinct(F.filter(F.split(F.lower("content"), r"\s+"), lambda w: w != ""))).alias("w")).where(F.size("w") > 0)
     rank = F.struct((-F.col("confidence")).alias("c"), F.col("id").alias("id"))
     sets = f.groupBy("w").agg(F.min(rank).alias("best")).withColumn("id", F.col("best.id"))
     found = pairs.overlapping_pairs(sets.select("id", "w"), 0.8)
