@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -258,12 +259,22 @@ def learn_from(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col:
     chosen = chosen.withColumn("_sum", summed).where(F.col("_sum") <= LEARN_BYTES).select("_id", "_y")
     picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")  # at most 2 * each rows
     picked = picked.where(F.octet_length("_text") <= LEARN_TEXT).dropDuplicates(["_id", "_text"])
-    sample = picked.select("_id", "_text", "_y").toArrow().sort_by([("_id", "ascending"), ("_text", "ascending")])
-    toxic = sample.column("_y").to_numpy().astype(np.int64)
+
+    def fit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            sample = pa.Table.from_batches(held).sort_by([("_id", "ascending"), ("_text", "ascending")])
+            toxic = sample.column("_y").to_numpy().astype(np.int64)
+            fitted = pickle.dumps((learn(sample.column("_text"), toxic, base), set(toxic.tolist())))
+            yield pa.RecordBatch.from_arrays([pa.array([fitted], pa.binary())], names=["fitted"])
+
+    # the sample is bounded, so one task fits it; the driver gets the weights alone
+    fitted = picked.select("_id", "_text", "_y").repartition(1).mapInArrow(fit_all, "fitted binary").collect()
+    model, learned = pickle.loads(fitted[0]["fitted"]) if fitted else (learn(pa.array([], pa.string()), np.zeros(0, np.int64), base), set())
     for y in counts:
-        if y not in toxic:
+        if y not in learned:
             warnings.warn(f"no text to learn label {y} from, of {counts[y]} rows", stacklevel=2)
-    return learn(sample.column("_text"), toxic, base)
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
