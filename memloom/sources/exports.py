@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from memloom.operators.stores import delete
+from memloom.sources.json_array import read_json_array
 
 CHAT = "uuid string, name string, summary string, created_at string, updated_at string, chat_messages array<struct<uuid:string,sender:string,text:string,content:array<struct<type:string,text:string>>,created_at:string>>"
 TREE = "title string, conversation_id string, mapping map<string,struct<message:struct<author:struct<role:string>,content:struct<parts:array<string>>>>>"
@@ -33,8 +34,15 @@ def detect_kind(spark: SparkSession, path: str) -> str:
 
 def read_chat(spark: SparkSession, path: str) -> DataFrame:
     """Conversations with their messages: content parts joined, empty messages dropped, the sender named by role."""
-    raw = spark.read.schema(CHAT).option("multiLine", True).json(path)
+    return _chat(spark.read.schema(CHAT).option("multiLine", True).json(path))
 
+
+def stream_chat(spark: SparkSession, path: str) -> DataFrame:
+    """The same from array files of any size, each read by byte ranges in many tasks, a conversation at a time."""
+    return _chat(read_json_array(spark, path, CHAT))
+
+
+def _chat(raw: DataFrame) -> DataFrame:
     def message(m: Column) -> Column:
         parts = F.array_join(F.transform(F.filter(F.coalesce(m["content"], F.array().cast("array<struct<type:string,text:string>>")), lambda p: p["text"].isNotNull()), lambda p: p["text"]), "\n")
         text = F.trim(F.when(F.length(parts) > 0, parts).otherwise(F.coalesce(m["text"], F.lit(""))))
