@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections import namedtuple
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memloom.functions.text import contains_any, strings
-from memloom.operators.pairs import similar_pairs
+from memloom.functions import rules
+from memloom.functions.scoring import fact_text_quality
+from memloom.functions.text import contains_any, strings, words
+from memloom.operators.pairs import overlapping_pairs, similar_pairs
 from memloom.operators.windows import first_by
+from memloom.session import keep
 
 # What marks a statement about oneself, and how an assistant's "you" becomes "I"; the first that fits is used once.
 SELF_MARKERS = (
@@ -21,9 +26,10 @@ TO_FIRST = (
 
 
 def statements(messages: DataFrame, text: str, shortest: int = 10, longest: int = 500) -> DataFrame:
-    """Sentences of the messages that hold a marker of self-disclosure, a row for each; repeated sentences of a message once."""
-    sentence = F.explode(F.array_distinct(F.transform(F.split(F.col(text), r"\. "), lambda s: F.rtrim(F.trim(s)))))
-    out = messages.withColumn("statement", sentence).withColumn("statement", F.regexp_replace("statement", r"[.,!?]+$", ""))
+    """Sentences of the messages that hold a marker of self-disclosure, a row for each with its place n among the message's
+    sentences; repeated sentences of a message once."""
+    sentences = F.array_distinct(F.transform(F.split(F.col(text), r"\. "), lambda s: F.rtrim(F.trim(s))))
+    out = messages.select("*", F.posexplode(sentences).alias("n", "statement")).withColumn("statement", F.regexp_replace("statement", r"[.,!?]+$", ""))
     size = F.length("statement")
     return out.where(contains_any(F.lower("statement"), SELF_MARKERS) & (size > shortest) & (size < longest))
 
@@ -45,7 +51,7 @@ def insert_or_confirm(store: DataFrame, rows: DataFrame, threshold: float = 0.75
     """
     new = rows.select("id", "content")
     both = store.select("id", "content", F.lit(False).alias("_new")).unionByName(new.withColumn("_new", F.lit(True)))
-    pairs = similar_pairs(both, "id", "content", threshold)
+    pairs = similar_pairs(both, "id", "content", threshold, "_new")
     kind = both.select("id", "_new")
     linked = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     linked = linked.join(kind.where("_new").select(F.col("id").alias("a")), "a").join(kind.select(F.col("id").alias("b"), F.col("_new").alias("_b_new")), "b")
@@ -91,3 +97,44 @@ def packed(items: Column, budget: int, least: int = 20) -> Column:
         return F.when(fits, F.struct((acc["used"] + x["tokens"]).cast("bigint").alias("used"), F.concat(acc["ids"], F.array(x["id"].cast("bigint"))).alias("ids")).cast(kinds)).otherwise(acc)
 
     return F.aggregate(items, start, step, lambda acc: acc["ids"])
+
+
+#: What a batch of messages does to the store of facts: rows that are new or changed, statements that wait for a review, links.
+Learned = namedtuple("Learned", "changed pending links")
+SUBJECT, CONFLICT, RELATED, LINKS = 0.2, 0.7, 0.3, 3
+
+
+def learned(store: DataFrame, messages: DataFrame, accept: float = 0.7, review: float = 0.4, threshold: float = 0.75) -> Learned:
+    """Learn from messages (id, role, text): extract statements of users, and what assistants tell them about themselves in the
+    first person; gate them by quality; insert or confirm; let new facts supersede those that they contradict; link them.
+
+    store: id, content, confidence, confirmation_count, is_superseded. A statement of quality `accept` or more is stored, one of
+    `review` or more waits (pending: id, content, quality), others are dropped. A new fact meets known ones whose words are
+    alike by SUBJECT at least; a conflict of CONFLICT or more supersedes the known one. links: source (new), target, weight, the
+    LINKS most alike facts above RELATED for each new one. Only changed rows are returned, so a store takes them as a commit.
+    Ids of facts are the message's id times 1,000 and the sentence's place.
+    """
+    text = F.when(F.col("role") == "assistant", F.array_join(F.filter(F.transform(F.split("text", r"\. "), lambda s: F.when(first_person(s) != s, first_person(s))), lambda s: s.isNotNull()), ". ")).otherwise(F.col("text"))
+    said = statements(messages.where(F.col("role").isin("user", "human", "assistant")).select("id", text.alias("_said")), "_said")
+    said = said.select((F.col("id") * 1000 + F.col("n")).alias("id"), F.col("statement").alias("content")).withColumn("quality", fact_text_quality(F.col("content")))
+    spark = store.sparkSession
+    said = keep(spark, said)  # each step reads what the one before has written, so plans stay small
+    known = store.select("id", "content", "confidence", F.col("confirmation_count").cast("long").alias("confirmation_count"), "is_superseded")
+    after = keep(spark, insert_or_confirm(known, said.where(F.round("quality", 9) >= accept), threshold))
+    old = known.select(F.col("id").alias("_id"), F.col("confirmation_count").alias("_before"), "is_superseded")
+    after = after.join(old, F.col("id") == F.col("_id"), "left").withColumn("_new", F.col("_id").isNull())
+    sets = after.where("_new or not is_superseded").select("id", "content", "_new", F.array_distinct(words(F.col("content"))).alias("w"))
+    side = lambda k: sets.select(F.col("id").alias(k), F.col("content").alias(f"_c{k}"), F.col("_new").alias(f"_n{k}"))
+    both = overlapping_pairs(sets.select("id", "w"), SUBJECT).join(side("a"), "a").join(side("b"), "b").where("_na <> _nb")
+    fresh, held = F.when(F.col("_na"), F.col("_ca")).otherwise(F.col("_cb")), F.when(F.col("_na"), F.col("_cb")).otherwise(F.col("_ca"))
+    score = F.greatest(rules.contrary(F.lower(fresh), F.lower(held)), rules.value_change(fresh, held), rules.singular_conflict(fresh, held))
+    gone = keep(spark, both.where(score >= CONFLICT).select(F.when(F.col("_na"), F.col("b")).otherwise(F.col("a")).alias("_gone")).distinct())
+    after = after.join(gone, F.col("id") == F.col("_gone"), "left")
+    changed = after.where("_new or _gone is not null or confirmation_count <> _before")
+    changed = changed.select("id", "content", "confidence", "confirmation_count", (F.coalesce("is_superseded", F.lit(False)) | F.col("_gone").isNotNull()).alias("is_superseded"))
+    like = similar_pairs(after, "id", "content", RELATED, "_new").join(after.select(F.col("id").alias("a"), F.col("_new").alias("_na")), "a").join(after.select(F.col("id").alias("b"), F.col("_new").alias("_nb")), "b")
+    ends = lambda x, y: like.where(f"_n{x}").select(F.col(x).alias("source"), F.col(y).alias("target"), F.col("similarity").alias("weight"))
+    place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc(F.round("weight", 9)), "target"))
+    links = ends("a", "b").unionByName(ends("b", "a")).withColumn("_p", place).where(F.col("_p") <= LINKS).drop("_p")
+    waiting = said.where((F.round("quality", 9) < accept) & (F.round("quality", 9) >= review))
+    return Learned(changed, waiting.select("id", "content", "quality"), links)

@@ -37,8 +37,8 @@ def greater_share(threshold: float) -> float:
     return least_share(math.sqrt(threshold))
 
 
-def similar_pairs(rows: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
-    """Pairs (a < b) whose pair cosine exceeds the threshold.
+def similar_pairs(rows: DataFrame, key: str, text: str, threshold: float, new: str | None = None) -> DataFrame:
+    """Pairs (a < b) whose pair cosine exceeds the threshold. new: a boolean column; then only pairs with such a row are sought.
 
     Each text must share at least `least_share` of its squared counts, and one of both `greater_share`. With the terms in order
     of rarity, the rarest shared one lies in the prefixes behind which less than that is left: a short one of the one side and a
@@ -51,8 +51,11 @@ def similar_pairs(rows: DataFrame, key: str, text: str, threshold: float) -> Dat
     ordered = counts.join(frequency, "term").withColumn("_all", F.sum(F.col("tf") * F.col("tf")).over(w))
     rest = F.sum(F.col("tf") * F.col("tf")).over(w.orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0))
     prefix = ordered.withColumn("_rest", rest / F.col("_all")).where((F.col("_rest") >= least_share(threshold) - 1e-9) & (F.col("df") > 1))
-    short = prefix.where(F.col("_rest") >= greater_share(threshold) - 1e-9).select(F.col("id").alias("_x"), "term")
-    met = short.join(prefix.select(F.col("id").alias("_y"), "term"), "term").where("_x <> _y")
+    if new:
+        prefix = prefix.join(rows.select(F.col(key).alias("id"), F.col(new).alias("_new")), "id")
+    mark = ["_new"] if new else []
+    short = prefix.where(F.col("_rest") >= greater_share(threshold) - 1e-9).select(F.col("id").alias("_x"), "term", *(F.col(c).alias("_nx") for c in mark))
+    met = short.join(prefix.select(F.col("id").alias("_y"), "term", *(F.col(c).alias("_ny") for c in mark)), "term").where("_x <> _y" + (" and (_nx or _ny)" if new else ""))
     candidates = met.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).distinct()
     whole = counts.join(frequency.where("df > 1"), "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("term", "tf"))).alias("_t")).select("id", F.transform("_t", lambda x: x["term"]).alias("k"), F.map_from_entries("_t").alias("m"))
     norms = counts.groupBy("id").agg(F.sum(F.col("tf") * F.col("tf")).alias("n"))
