@@ -50,7 +50,7 @@ PATTERNS: tuple[Pattern, ...] = (
     Pattern(r"/(wp-content|wp-includes|node_modules)/"),
     Pattern(r"\.(zip|exe|apk|iso|dmg)$"),
 )
-#: The most rules of either kind: the index is sent to all tasks, so its size is bounded; it is checked.
+#: The most rules of either kind in one index: it is sent to all tasks, so its size is bounded. More rules make more indexes.
 MOST_RULES = 10_000
 #: Strings that a part of a pattern can stand for are spelled out up to so many.
 SPELLED = 64
@@ -164,30 +164,34 @@ def token_index(pages: DataFrame, url_col: str, patterns: Sequence[Pattern]) ->
 
 
 def _judge(host_rules: Sequence[tuple[str, str]], patterns: Sequence[Pattern], index: dict[str, list[int]], free: list[int]):
-    """A pandas UDF: host, path and lower-cased URL to (rule, pattern, verdict)."""
+    """A pandas UDF: host, path and lower-cased URL to (rule, its verdict, pattern, its verdict)."""
     by_host: dict[str, list[tuple[str, str, str]]] = {}
     for name, verdict in sorted(dict(host_rules).items(), key=lambda r: (len(r[0]), r[0]), reverse=True):  # the first that fits is the longest
         host, _, path = name.partition("/")
         by_host.setdefault(host, []).append((f"/{path}", name, verdict))
 
-    @F.pandas_udf("rule string, pattern int, verdict string")
+    @F.pandas_udf("rule string, rule_verdict string, pattern int, pattern_verdict string")
     def judge(hosts: pd.Series, paths: pd.Series, urls: pd.Series) -> pd.DataFrame:
         compiled: dict[int, re.Pattern] = {}  # of those that some URL of the batch asks for
         rules: list = []
         numbers: list = []
-        verdicts: list = []
+        rule_verdicts: list = []
+        pattern_verdicts: list = []
         for host, path, url in zip(hosts, paths, urls, strict=True):
             labels = host.split(".")
             fits = [r for k in range(len(labels)) for r in by_host.get(".".join(labels[k:]), ()) if path.startswith(r[0])]
             rule = max(fits, key=lambda r: (len(r[1]), r[1])) if fits else None
             number = None
-            if url is not None:
+            if url is not None and patterns:
                 candidates = sorted({*free, *(i for t in set(_TOKEN.findall(url)) for i in index.get(t, ()))})
                 number = next((i for i in candidates if (compiled.get(i) or compiled.setdefault(i, re.compile(patterns[i].regex))).search(url)), None)
             rules.append(rule and rule[1])
             numbers.append(number)
-            verdicts.append(rule[2] if rule else "allow" if number is None else patterns[number].verdict)
-        return pd.DataFrame({"rule": pd.Series(rules, dtype=object), "pattern": pd.Series(numbers, dtype="Int32"), "verdict": pd.Series(verdicts, dtype=object)})
+            rule_verdicts.append(rule and rule[2])
+            pattern_verdicts.append(None if number is None else patterns[number].verdict)
+        text = {"rule": rules, "rule_verdict": rule_verdicts, "pattern_verdict": pattern_verdicts}
+        out = {k: pd.Series(v, dtype=object) for k, v in text.items()} | {"pattern": pd.Series(numbers, dtype="Int32")}
+        return pd.DataFrame({k: out[k] for k in ("rule", "rule_verdict", "pattern", "pattern_verdict")})
 
     return judge
 
@@ -196,20 +200,28 @@ def url_filter(pages: DataFrame, url_col: str = "url", host_rules: Sequence[tupl
     """Judge URLs. Adds host, path, rule (of host_rules, or null), pattern (number of the deciding pattern, or null) and verdict.
 
     The longest host rule that fits decides (ties: the later in code-point order). Else the first pattern that matches
-    decides, else the verdict is allow. A host's labels fetch its rules and a URL's tokens its candidate patterns; only those
+    decides, else the verdict is allow. Rules beyond MOST_RULES are judged by further indexes of that size. A host's labels fetch its rules and a URL's tokens its candidate patterns; only those
     are tried, so the work per URL doesn't grow with the number of rules. Patterns without mandatory tokens run on all URLs.
 
     Null url or none with '://': host and path are empty and no host rule fits; null matches no pattern. Rows are judged
     one by one, so repeated rows repeat; an empty table gives an empty table; clashing extra columns are replaced.
     """
-    if max(len(host_rules), len(patterns)) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
-    index, free = token_index(pages, url_col, patterns) if patterns else ({}, [])
     host, path = split_url(F.col(url_col))
     out = pages.withColumns({"host": host, "path": path})
-    judged = _judge(host_rules, patterns, index, free)(F.col("host"), F.col("path"), ascii_lower(F.col(url_col)))
-    out = out.withColumn("_memloom_judged", judged)
-    return out.withColumns({c: F.col(f"_memloom_judged.{c}") for c in ("rule", "pattern", "verdict")}).drop("_memloom_judged")
+    judged, fitting = [], dict(host_rules)
+    names = list(fitting)
+    for at in range(0, max(len(names), len(patterns), 1), MOST_RULES):
+        some = patterns[at : at + MOST_RULES]
+        index, free = token_index(pages, url_col, some) if some else ({}, [])
+        judge = _judge([(n, fitting[n]) for n in names[at : at + MOST_RULES]], some, index, free)
+        out = out.withColumn(f"_memloom_judged{at}", judge(F.col("host"), F.col("path"), ascii_lower(F.col(url_col))))
+        judged.append((at, F.col(f"_memloom_judged{at}")))
+    rule = F.array_max(F.array(*(F.when(j["rule"].isNotNull(), F.struct(F.length(j["rule"]).alias("n"), j["rule"].alias("rule"), j["rule_verdict"].alias("verdict"))) for _, j in judged)))
+    pattern = F.array_min(F.array(*(F.when(j["pattern"].isNotNull(), F.struct((j["pattern"] + at).alias("pattern"), j["pattern_verdict"].alias("verdict"))) for at, j in judged)))
+    out = out.withColumns({"_memloom_rule": rule, "_memloom_pattern": pattern})
+    verdict = F.coalesce("_memloom_rule.verdict", "_memloom_pattern.verdict", F.lit("allow"))
+    out = out.withColumns({"rule": F.col("_memloom_rule.rule"), "pattern": F.col("_memloom_pattern.pattern"), "verdict": verdict})
+    return out.drop("_memloom_rule", "_memloom_pattern", *(f"_memloom_judged{at}" for at, _ in judged))
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,9 @@ from collections import defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from memloom.llm import ORACLE_SQL, QUERIES
+from memloom.llm import ORACLE_SQL, QUERIES, url_filters
 from memloom.llm.line_dedup import line_dedup
 from memloom.llm.mixing import mix_sources
 from memloom.llm.secret_scan import scan_secrets, trigram_query
@@ -166,3 +167,14 @@ def test_mix_without_ids(spark):
     df = spark.createDataFrame([(None, f"word {i} " * (i % 5), "en", "s") for i in range(500)], "doc_id long, text string, lang string, source string")
     out = mix_sources(spark, df).collect()
     assert len(out) == 500 and abs(sum(r["taken"] for r in out) - sum(r["size"] for r in out)) <= 20
+
+
+def test_rules_beyond_one_index_are_judged_alike(spark, monkeypatch):
+    urls = ["http://net/", "https://a.example.net/en/x?q", "http://example.com/de/1", "http://x.org/fr/2", "http://site3.test/a/b/", "http://site17.test/a/b/", "http://ads.site.xx/", "http://a.b/word12/x", "http://a.b/word7/word12", None, "http://a.b/wp-login.php", "http://site17.test/cart/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    hosts = [*url_filters.HOST_RULES, *((f"site{k}.test/a/", "block" if k % 2 else "allow") for k in range(20)), ("site17.test/a/b/", "allow")]
+    patterns = [*url_filters.PATTERNS, *(Pattern(rf"/word{k}(/|$)", "allow" if k % 3 else "block") for k in range(20))]
+    key = lambda: sorted(tuple(r) for r in url_filter(df, host_rules=hosts, patterns=patterns).select("page_id", F.coalesce("rule", F.lit("")), F.coalesce("pattern", F.lit(-1)), "verdict").collect())
+    want = key()
+    monkeypatch.setattr(url_filters, "MOST_RULES", 6)
+    assert key() == want and len({x[1] for x in want}) > 4 and len({x[2] for x in want}) > 3
