@@ -40,7 +40,7 @@ def half_trend(events: DataFrame, order: list[str], hit: Column) -> DataFrame:
     days = events.withColumn("_day", F.to_date(order[0]))
     by_day = days.groupBy("_day").agg(F.count("*").alias("_n"))
     before = by_day.select("_day", (F.sum("_n").over(Window.orderBy("_day")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
-    placed = days.join(F.broadcast(before), "_day").withColumn("_place", F.col("_before") + F.row_number().over(Window.partitionBy("_day").orderBy(*order)))
+    placed = days.join(before, "_day").withColumn("_place", F.col("_before") + F.row_number().over(Window.partitionBy("_day").orderBy(*order)))
     early = F.col("_place") <= F.floor(F.col("_total") / 2)
     sums = placed.agg(F.count_if(early & hit).alias("early"), F.count_if(~early & hit).alias("late"))
     return sums.withColumn("trend", F.when(F.col("late") > 1.2 * F.col("early"), "increasing").when(F.col("late") < 0.8 * F.col("early"), "decreasing").otherwise("stable"))

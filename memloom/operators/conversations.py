@@ -10,7 +10,6 @@ from pyspark.sql.window import Window
 
 from memloom.functions.fixed import SYNONYMS
 from memloom.functions.text import contains_any, words
-from memloom.session import ensure_checkpoint_dir
 
 # What marks a talk about fiction, a change of topic, a follow-up or a comparison.
 FICTION = ("novel", "story", "character", "chapter", "fiction", "protagonist", "worldbuilding", "screenplay")
@@ -93,19 +92,23 @@ def query_class(text: Column) -> Column:
     return F.when(best < 0.25, "general").when(follow == best, "follow_up").when(compare == best, "comparison").otherwise("thematic")
 
 
+#: Best pairs that the driver looks at in one round.
+ROUND = 1_000
+
+
 def greedy_matches(pairs: DataFrame, most: int = 10) -> DataFrame:
     """The best merges of pairs (a, b, score): by score (then the lesser ids), each row once, at most so many.
 
-    A pair that is the best of both its ends is one that picking the best pair again and again would pick, so each round
-    takes all such pairs at once and drops what touches them. Rounds are few: ties are broken by the ids."""
-    ensure_checkpoint_dir(pairs.sparkSession)
-    rank = F.struct((-F.col("score")).alias("s"), F.col("a").alias("a"), F.col("b").alias("b"))
-    rest, out = pairs.select("a", "b", "score").withColumn("_rank", rank).checkpoint(), None
-    while not rest.isEmpty():
-        ends = rest.select(F.explode(F.array("a", "b")).alias("end"), "_rank").groupBy("end").agg(F.min("_rank").alias("_best"))
-        chosen = rest.join(ends.select(F.col("end").alias("a"), F.col("_best").alias("_ba")), "a").join(ends.select(F.col("end").alias("b"), F.col("_best").alias("_bb")), "b")
-        chosen = chosen.where("_rank = _ba and _rank = _bb").select("a", "b", "score").checkpoint()
-        used = chosen.select(F.explode(F.array("a", "b")).alias("end"))
-        rest = rest.join(used.withColumnRenamed("end", "a"), "a", "left_anti").join(used.withColumnRenamed("end", "b"), "b", "left_anti").select("a", "b", "score", "_rank").checkpoint()
-        out = chosen if out is None else out.unionByName(chosen)
-    return (pairs.select("a", "b", "score") if out is None else out).orderBy(F.desc("score"), "a", "b").limit(most)
+    Only pairs above the last pick matter. Each round takes the ROUND best pairs that touch nothing used and picks among them
+    in order, one at least, so there are `most` rounds at most, and one as a rule."""
+    columns, picked, used = pairs.select("a", "b", "score"), [], set()
+    while len(picked) < most:
+        free = columns.where(~F.col("a").isin(sorted(used)) & ~F.col("b").isin(sorted(used))) if used else columns
+        block = free.orderBy(F.desc("score"), "a", "b").limit(ROUND).collect()
+        for r in block:
+            if len(picked) < most and r["a"] not in used and r["b"] not in used:
+                picked.append(tuple(r))
+                used |= {r["a"], r["b"]}
+        if len(block) < ROUND:
+            break
+    return pairs.sparkSession.createDataFrame(picked, columns.schema)

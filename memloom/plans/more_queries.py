@@ -14,7 +14,7 @@ from memloom.functions.text import jaccard, words
 from memloom.operators import conversations, graph, learning, stores, windows
 from memloom.plans.catalog import query
 from memloom.plans.indexes import text_index
-from memloom.plans.search_queries import BM25, FRESH, W
+from memloom.plans.search_queries import BM25, FRESH, QUALITY, W
 from memloom.plans.views import AS_OF, EPISODES, FACTS, LINKS, TOLD_FACTS, as_of, episodes, facts, links, table, told_facts, with_views
 
 
@@ -105,8 +105,11 @@ def d06(spark, sf):
     return d.groupBy("h", "g").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
 
 
-@query("x06_self_statements", with_views(f"""SELECT DISTINCT id, s AS statement FROM (SELECT id, regexp_replace(trim(unnest(string_split(content, '. '))), '[.,!?]+$', '') AS s FROM facts)
-  WHERE length(s) > 10 AND length(s) < 500 AND ({' OR '.join("contains(lower(s), '" + m.replace("'", "''") + "')" for m in learning.SELF_MARKERS)})""", TOLD_FACTS))
+SAID = f"""said AS (SELECT DISTINCT id, s AS content FROM (SELECT id, regexp_replace(trim(unnest(string_split(content, '. '))), '[.,!?]+$', '') AS s FROM facts)
+  WHERE length(s) > 10 AND length(s) < 500 AND ({' OR '.join("contains(lower(s), '" + m.replace("'", "''") + "')" for m in learning.SELF_MARKERS)}))"""
+
+
+@query("x06_self_statements", with_views("SELECT id, content AS statement FROM said", TOLD_FACTS, SAID))
 def x06(spark, sf):
     return learning.statements(told_facts(spark, sf).select("id", "content"), "content").select("id", "statement")
 
@@ -217,6 +220,14 @@ def e09(spark, sf):
     return facts(spark, sf).groupBy(sc.gate(q).alias("gate")).agg(F.count("*").alias("n"))
 
 
+@query("e09_gated_statements", with_views(f"SELECT gate, fact_type, count(*) AS n, round(avg(q), 6)::DOUBLE AS quality FROM (SELECT CASE WHEN q >= 0.7 THEN 'high' WHEN q >= 0.4 THEN 'medium' ELSE 'low' END AS gate, fact_type, q FROM (SELECT f.fact_type, round({QUALITY.replace('content', 'said.content')}, 9) AS q FROM said JOIN facts f ON f.id = said.id)) GROUP BY gate, fact_type", TOLD_FACTS, SAID))
+def e09_gated(spark, sf):
+    """What the learning loop extracts from all messages, and by its quality stores, queues or drops, for each type."""
+    said = learning.statements(told_facts(spark, sf).select("id", "fact_type", "content"), "content").select("id", "fact_type", "statement").distinct()
+    rated = said.withColumn("q", F.round(sc.fact_text_quality(F.col("statement")), 9))
+    return rated.groupBy(sc.gate(F.col("q")).alias("gate"), "fact_type").agg(F.count("*").alias("n"), F.round(F.avg("q"), 6).alias("quality"))
+
+
 @query("r01_mood_aware_recall", with_views("SELECT id, branch FROM (SELECT id, 'hit' AS branch FROM episodes WHERE topic = 'gamma' UNION ALL SELECT id, 'comfort' FROM (SELECT id FROM episodes WHERE valence = 2 AND topic <> 'gamma' ORDER BY importance DESC, id LIMIT 3))", EPISODES))
 def r01(spark, sf):
     """Hits, and three comforting episodes beside them."""

@@ -203,10 +203,13 @@ def _with_samples(spark, sf):
 BOTH = "both_ AS (SELECT id, content FROM facts UNION ALL SELECT -id, content FROM samples)"
 
 
-@query("k09_text_quality", with_views(f"""SELECT id, round(greatest(0, least(1, 0.5 + CASE WHEN {_any('lower(content)', fixed.HIGH_VALUE)} THEN 0.25 ELSE 0 END - CASE WHEN {_any('lower(content)', fixed.TRANSIENT)} THEN 0.3 ELSE 0 END
+QUALITY = f"""greatest(0, least(1, 0.5 + CASE WHEN {_any('lower(content)', fixed.HIGH_VALUE)} THEN 0.25 ELSE 0 END - CASE WHEN {_any('lower(content)', fixed.TRANSIENT)} THEN 0.3 ELSE 0 END
   - CASE WHEN {_any('content', fixed.CODE_LIKE)} THEN 0.2 ELSE 0 END - CASE WHEN ends_with(rtrim(content), '?') THEN 0.3 ELSE 0 END
   + CASE WHEN len(list_filter(string_split_regex(regexp_replace(content, '^\\s*\\S+', ''), '\\s+'), lambda w: regexp_matches(w, '^\\p{{Lu}}\\p{{L}}*$'))) > 0 THEN 0.1 ELSE 0 END
-  - CASE WHEN {_any('lower(content)', fixed.GENERIC)} THEN 0.2 ELSE 0 END + CASE WHEN length(content) BETWEEN 30 AND 150 THEN 0.05 WHEN length(content) > 300 THEN -0.1 ELSE 0 END)), 6)::DOUBLE AS quality FROM both_""", FACTS, _SAMPLE_SQL, BOTH))
+  - CASE WHEN {_any('lower(content)', fixed.GENERIC)} THEN 0.2 ELSE 0 END + CASE WHEN length(content) BETWEEN 30 AND 150 THEN 0.05 WHEN length(content) > 300 THEN -0.1 ELSE 0 END))"""
+
+
+@query("k09_text_quality", with_views(f"SELECT id, round({QUALITY}, 6)::DOUBLE AS quality FROM both_", FACTS, _SAMPLE_SQL, BOTH))
 def k09(spark, sf):
     return _with_samples(spark, sf).select("id", r6(sc.fact_text_quality(F.col("content"))).alias("quality"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,14 +26,40 @@ def timestamp(text: Column, fallback: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(cleaned).cast("timestamp_ntz"), fallback)
 
 
+#: Bytes of a file's head in which the first record's keys are sought.
+HEAD = 1 << 16
+
+
 def detect_kind(spark: SparkSession, path: str) -> str:
-    """The kind of an export file, from the keys of its first record; unknown if none fits. Only the file's head is kept."""
-    head = spark.read.text(path, wholetext=True).select(F.coalesce(F.get_json_object("value", "$[0]"), F.col("value")).alias("first"))
-    row = head.select(F.json_object_keys("first").alias("keys")).first()
-    keys = set(row["keys"] or []) if row else set()
+    """The kind of an export file, from the keys of its first record; unknown if none fits. Only the file's head is read, so keys
+    behind its first HEAD bytes are not seen."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+    try:
+        head = bytes(stream.readNBytes(HEAD)).decode("utf-8", "ignore")
+    finally:
+        stream.close()
+    keys = first_keys(head)
     return next((kind for kind, need in KINDS if keys.issuperset(need)), "unknown")
 
 
+def first_keys(text: str) -> set[str]:
+    """The keys of the first object in a JSON text that may be cut off: strings at its own depth with a colon behind."""
+    depth, keys, base = 0, set(), None
+    for m in re.finditer(r'"((?:[^"\\]|\\.)*)"(\s*:)?|[{}\[\]]', text):
+        token = m.group()
+        if token in "{[":
+            depth += 1
+            base = depth if base is None and token == "{" else base
+        elif token in "}]":
+            depth -= 1
+            if base is not None and depth < base:
+                break
+        elif m.group(2) and depth == base:
+            keys.add(m.group(1))
+    return keys
+
+
 def read_chat(spark: SparkSession, path: str) -> DataFrame:
     """Conversations with their messages: content parts joined, empty messages dropped, the sender named by role."""
     return _chat(spark.read.schema(CHAT).option("multiLine", True).json(path))
