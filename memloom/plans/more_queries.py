@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from memloom.functions import scoring as sc
 from memloom.functions.fixed import EMOTIONS, SYNONYMS
 from memloom.functions.sentiment import with_sentiment
-from memloom.functions.temporal import parse
-from memloom.functions.text import jaccard, words
+from memloom.functions.temporal import MONTHS, parse, time_range
+from memloom.functions.text import jaccard, strings, words
 from memloom.operators import conversations, graph, learning, stores, windows
 from memloom.plans.catalog import query
 from memloom.plans.indexes import text_index
@@ -239,3 +239,40 @@ def r01(spark, sf):
 @query("r03_texts_by_emotion", with_views("SELECT 'neutral' AS emotion, count(*) AS n FROM facts WHERE NOT list_has_any(regexp_extract_all(lower(content), '" + W + "'), ['" + "','".join(sorted({k for _, ks in EMOTIONS.values() for k in ks})) + "'])", FACTS))
 def r03(spark, sf):
     return with_sentiment(facts(spark, sf), "content").where("emotion = 'neutral'").groupBy("emotion").agg(F.count("*").alias("n"))
+
+
+PHRASES = (
+    "what did we say yesterday", "today", "5 hours ago", "3 days ago", "2 weeks ago", "over the last 10 days", "last week", "this week", "plans of last month", "this month", "last year", "in october 2025", "in march", "back in 2023", "nothing of time",
+)
+
+
+def _phrase_sql() -> str:
+    months = "|".join(MONTHS)
+    named = rf"\b({months})\b(?:\s+(\d{{4}}))?"
+    of = "list_position([" + ", ".join(f"'{m}'" for m in MONTHS) + f"], regexp_extract(q, '{named}', 1))"
+    first = f"make_date((CASE WHEN regexp_extract(q, '{named}', 2) <> '' THEN regexp_extract(q, '{named}', 2)::BIGINT ELSE year(ts) - ({of} > month(ts))::INT END)::BIGINT, {of}::BIGINT, 1)::TIMESTAMP"
+    num = lambda p: f"regexp_extract(q, '{p}', 1)::INT"
+    has = lambda p: f"regexp_extract(q, '{p}', 1) <> ''"
+    h, d, w, p, y = r"(\d+)\s+hours?\s+ago", r"(\d+)\s+days?\s+ago", r"(\d+)\s+weeks?\s+ago", r"(?:last|past)\s+(\d+)\s+days?", r"\b((?:19|20)\d{2})\b"
+    day, week, month, year = (f"date_trunc('{u}', ts)" for u in ("day", "week", "month", "year"))
+    rules = (
+        ("contains(q, 'yesterday')", f"{day} - INTERVAL 1 DAY", day), ("contains(q, 'today')", day, f"{day} + INTERVAL 1 DAY"),
+        (has(h), f"ts - to_hours({num(h)}) - INTERVAL 30 MINUTE", f"ts - to_hours({num(h)}) + INTERVAL 30 MINUTE"), (has(d), f"ts - to_days({num(d)}) - INTERVAL 12 HOUR", f"ts - to_days({num(d)}) + INTERVAL 12 HOUR"),
+        (has(w), f"{week} - to_days(7 * {num(w)})", f"{week} - to_days(7 * {num(w)}) + INTERVAL 7 DAY"), (has(p), f"ts - to_days({num(p)})", "ts"),
+        ("contains(q, 'last week')", f"{week} - INTERVAL 7 DAY", week), ("contains(q, 'this week')", week, f"{week} + INTERVAL 7 DAY"), ("contains(q, 'last month')", f"{month} - INTERVAL 1 MONTH", month),
+        ("contains(q, 'this month')", month, f"{month} + INTERVAL 1 MONTH"), ("contains(q, 'last year')", f"{year} - INTERVAL 1 YEAR", year), (has(named), first, f"{first} + INTERVAL 1 MONTH"),
+        (has(y), f"make_date({num(y)}::BIGINT, 1, 1)::TIMESTAMP", f"make_date({num(y)}::BIGINT + 1, 1, 1)::TIMESTAMP"),
+    )
+    case = lambda k: "CASE " + " ".join(f"WHEN {r[0]} THEN ({r[k]})::TIMESTAMP" for r in rules) + " END"
+    listed = "[" + ", ".join(f"'{x}'" for x in PHRASES) + "]"
+    return f"SELECT id, {case(1)} AS begins, {case(2)} AS ends FROM (SELECT id, last_confirmed + to_seconds(id % 86400) AS ts, lower({listed}[id % {len(PHRASES)} + 1] || ' ' || content) AS q FROM facts)"
+
+
+@query("x22_time_phrases", with_views(_phrase_sql(), FACTS))
+def x22(spark, sf):
+    """The range of times that each query means, a phrase before a message's text, each as of its own time."""
+    f = facts(spark, sf)
+    phrase = F.element_at(strings(PHRASES), (F.col("id") % len(PHRASES) + 1).cast("int"))
+    asked = f.select("id", F.timestamp_add("SECOND", (F.col("id") % 86400).cast("int"), F.col("last_confirmed")).alias("at"), F.concat(phrase, F.lit(" "), F.col("content")).alias("q"))
+    begin, end = time_range(F.col("q"), F.col("at"))
+    return asked.select("id", begin.alias("begins"), end.alias("ends"))

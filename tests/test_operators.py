@@ -119,7 +119,7 @@ def test_relations_of_all_facts_equal_every_pair(spark, tmp_path):
     from memloom.functions import rules
     from memloom.functions.text import words
     from memloom.plans import QUERIES
-    from memloom.plans.views import facts
+    from memloom.plans.views import stated_facts as facts
 
     rnd, sf = random.Random(4), str(tmp_path)
     said = ["happy", "sad", "not", "never", "good", "bad", *(f"word{i}" for i in range(60))]
