@@ -6,6 +6,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from memloom.operators import graph
 from memloom.plans import ORACLE_SQL, QUERIES
 
 
@@ -43,3 +44,8 @@ def alike(tmp_path_factory):
 @pytest.mark.parametrize("name", ["d03_episode_duplicates", "j09_merge_candidates"])
 def test_episode_pairs_whose_later_id_is_earlier(spark, alike, name):
     assert len(same_as_sql(spark, alike, name)) > 20
+
+
+def test_shortest_path_ties_are_ordered_as_text(spark):
+    links = spark.createDataFrame([(4, 9, 1.0), (4, 10, 1.0), (9, 3, 1.0), (10, 3, 1.0), (3, 75, 1.0)], "source long, target long, weight double")
+    assert graph.shortest_path(links, 4, 75).first()["path"] == [4, 10, 3, 75]
