@@ -1,71 +1,112 @@
-"""Pairs of like texts: closed-form TF-IDF cosine over a token join, with prefix filtering that loses nothing."""
+"""Pairs of like texts: closed-form TF-IDF cosine over blocks of all pairs, and a set join with prefixes that lose nothing."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from memloom.functions.text import terms
+from memloom.operators import blocks
 
 #: A term of one text of two weighs this against one of both.
 UNIQUE = 1 + math.log(1.5)
 
 
-def pair_cosine(dot: Column, shared_a: Column, shared_b: Column, all_a: Column, all_b: Column) -> Column:
-    """Cosine of the TF-IDF vectors of two texts over these two as the corpus."""
-    c2 = UNIQUE * UNIQUE
-    return dot / F.sqrt((shared_a + c2 * (all_a - shared_a)) * (shared_b + c2 * (all_b - shared_b)))
-
-
 def term_counts(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(F.col(key).alias("id"), F.explode(terms(F.col(text))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
-def least_share(threshold: float) -> float:
-    """The least part of a text's squared counts that must be shared for a pair cosine of the threshold: with the part r shared on
-    one side and everything on the other, the cosine is at most the root of r / (r + UNIQUE^2 (1 - r))."""
-    c2, t2 = UNIQUE * UNIQUE, threshold * threshold
-    return c2 * t2 / (1 - t2 + c2 * t2)
-
-
-def greater_share(threshold: float) -> float:
-    """What one of the two sides must share at least: were both below it, the cosine would be below the threshold."""
-    return least_share(math.sqrt(threshold))
+def counted(rows: DataFrame, key: str, text: str, extra: Sequence[str] = (), new: str | None = None) -> blocks.Packed:
+    """The rows' terms as chunks; rows that share a key are one text, as in term_counts."""
+    more = [*extra, *([new] if new else [])]
+    keyed = rows.select(F.col(key).alias("id"), blocks.hashed(terms(F.col(text))).alias("_h"), *more)
+    whole = keyed.groupBy("id").agg(F.flatten(F.collect_list("_h")).alias("_h"), *(F.max(c).alias(c) for c in more))
+    return blocks.pack(whole, "_h", extra, new)
+
+
+def term_cosine(met: blocks.Meeting, threshold: float, or_else: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a meeting whose pair cosine exceeds the threshold, or which or_else marks, with that cosine. No pair cosine is
+    above the cosine of the counts, so a block without such a one needs no further product."""
+    a, b = met.a, met.b
+    dot = met.product("x", "x")
+    c2, low = UNIQUE * UNIQUE, threshold * threshold * (1 - 1e-4)
+    na, nb = (x.norms.astype(dot.dtype) for x in (a, b))
+    square = dot * dot
+    near = square > (low * na)[:, None] * nb
+    if not near.any() and (or_else is None or not or_else.any()):
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0)
+    sa, sb = met.product("xx", "1"), met.product("1", "xx")
+    least = (low * c2 * na)[:, None] - dot.dtype.type(low * (c2 - 1)) * sa
+    least *= (c2 * nb) - dot.dtype.type(c2 - 1) * sb
+    near &= square > least
+    i, j = np.nonzero(near if or_else is None else near | or_else)
+    d, sa, sb, na, nb = dot[i, j].astype(np.float64), sa[i, j].astype(np.float64), sb[i, j].astype(np.float64), a.norms[i], b.norms[j]
+    below = np.sqrt((sa + c2 * (na - sa)) * (sb + c2 * (nb - sb)))
+    cosine = np.divide(d, below, out=np.zeros(len(d)), where=d > 0)
+    ok = cosine > threshold if or_else is None else (cosine > threshold) | or_else[i, j]
+    return i[ok], j[ok], cosine[ok]
 
 
 def similar_pairs(rows: DataFrame, key: str, text: str, threshold: float, new: str | None = None) -> DataFrame:
     """Pairs (a < b) whose pair cosine exceeds the threshold. new: a boolean column; then only pairs with such a row are sought.
 
-    Each text must share at least `least_share` of its squared counts, and one of both `greater_share`. With the terms in order
-    of rarity, the rarest shared one lies in the prefixes behind which less than that is left: a short one of the one side and a
-    longer one of the other. Candidates come from these alone; the cosine is then computed from the texts' counts, which each
-    candidate meets as one map for either side.
+    With so few words as conversations have, most texts share one and prefixes of rare terms leave most pairs; so all pairs
+    meet, in blocks of matrix products over the counts (`operators/blocks.py`).
     """
-    counts = term_counts(rows, key, text)
-    frequency = counts.groupBy("term").agg(F.count("*").alias("df"))
-    w = Window.partitionBy("id")
-    ordered = counts.join(frequency, "term").withColumn("_all", F.sum(F.col("tf") * F.col("tf")).over(w))
-    rest = F.sum(F.col("tf") * F.col("tf")).over(w.orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0))
-    prefix = ordered.withColumn("_rest", rest / F.col("_all")).where((F.col("_rest") >= least_share(threshold) - 1e-9) & (F.col("df") > 1))
-    if new:
-        prefix = prefix.join(rows.select(F.col(key).alias("id"), F.col(new).alias("_new")), "id")
-    mark = ["_new"] if new else []
-    short = prefix.where(F.col("_rest") >= greater_share(threshold) - 1e-9).select(F.col("id").alias("_x"), "term", *(F.col(c).alias("_nx") for c in mark))
-    met = short.join(prefix.select(F.col("id").alias("_y"), "term", *(F.col(c).alias("_ny") for c in mark)), "term").where("_x <> _y" + (" and (_nx or _ny)" if new else ""))
-    candidates = met.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).distinct()
-    whole = counts.join(frequency.where("df > 1"), "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("term", "tf"))).alias("_t")).select("id", F.transform("_t", lambda x: x["term"]).alias("k"), F.map_from_entries("_t").alias("m"))
-    norms = counts.groupBy("id").agg(F.sum(F.col("tf") * F.col("tf")).alias("n"))
-    whole = whole.join(norms, "id")
-    side = lambda k: whole.select(F.col("id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("k", "m", "n")))
-    both = candidates.join(side("a"), "a").join(side("b"), "b").withColumn("_s", F.array_intersect("k_a", "k_b"))
-    total = lambda f: F.aggregate("_s", F.lit(0).cast("long"), lambda s, t: s + f(t))
-    ta, tb = (lambda t: F.col("m_a")[t]), (lambda t: F.col("m_b")[t])
-    sums = both.select("a", "b", "n_a", "n_b", total(lambda t: ta(t) * tb(t)).alias("dot"), total(lambda t: ta(t) * ta(t)).alias("sa"), total(lambda t: tb(t) * tb(t)).alias("sb"))
-    return sums.withColumn("similarity", pair_cosine(F.col("dot"), F.col("sa"), F.col("sb"), F.col("n_a"), F.col("n_b"))).where(F.col("similarity") > threshold).select("a", "b", "similarity")
+
+    def rule(met: blocks.Meeting) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        i, j, cosine = term_cosine(met, threshold)
+        return i, j, [cosine]
+
+    return blocks.pairs(counted(rows, key, text, new=new), rule, "similarity double", marked=new is not None)
+
+
+def corpus_cosine(rows: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
+    """Pairs (a < b) whose TF-IDF vectors over all rows as the corpus have a cosine (similarity) above the threshold."""
+    n = rows.count()
+    packed = blocks.with_frequencies(counted(rows, key, text))
+
+    def weighted(row: Sequence, of: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return of, keys, counts * (np.log((n + 1) / (blocks.frequency_of(row, keys) + 1)) + 1)
+
+    def rule(met: blocks.Meeting) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        dot, na, nb = met.product("x", "x"), met.a.norms, met.b.norms
+        i, j = np.nonzero(dot > (threshold * (1 - 1e-9) * np.sqrt(na))[:, None] * np.sqrt(nb))
+        cosine = dot[i, j] / np.sqrt(na[i] * nb[j])
+        ok = cosine > threshold
+        return i[ok], j[ok], [cosine[ok]]
+
+    return blocks.pairs(packed, rule, "similarity double", valued=weighted)
+
+
+def alike(met: blocks.Meeting, threshold: float, or_else: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Pairs of a meeting of sets whose Jaccard likeness reaches the threshold, or which or_else marks: their places, sizes, the
+    words they share, and the likeness."""
+    shared, na, nb = met.product("x", "x"), met.a.sizes, met.b.sizes
+    kind = shared.dtype.type
+    low = threshold * (1 - 1e-5)
+    near = (shared * kind(1 + low) >= (low * na).astype(kind)[:, None] + (low * nb).astype(kind)) & (shared > 0)
+    i, j = np.nonzero(near if or_else is None else near | or_else)
+    na, nb, shared = na[i], nb[j], shared[i, j].astype(np.int64)
+    like = shared / np.maximum(1, na + nb - shared)
+    ok = like >= threshold if or_else is None else (like >= threshold) | or_else[i, j]
+    return i[ok], j[ok], na[ok], nb[ok], shared[ok], like[ok]
+
+
+def like_sets(rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs a < b of rows (id, w: distinct words) whose Jaccard likeness reaches the threshold, above 0, and that likeness."""
+
+    def rule(met: blocks.Meeting) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        i, j, *_, like = alike(met, threshold)
+        return i, j, [like]
+
+    return blocks.pairs(blocks.pack(rows.select("id", blocks.hashed(F.col("w")).alias("_h")), "_h"), rule, "likeness double")
 
 
 #: Sets that hold one term and meet in one task; more of them are dealt over several by salts.

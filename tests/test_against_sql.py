@@ -6,7 +6,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from memloom.operators import graph
+from memloom.operators import blocks, graph, pairs
 from memloom.plans import ORACLE_SQL, QUERIES
 
 
@@ -46,6 +46,34 @@ def test_episode_pairs_whose_later_id_is_earlier(spark, alike, name):
     assert len(same_as_sql(spark, alike, name)) > 20
 
 
+ALL_PAIRS = (
+    "a20_duplicate_stats", "d01_similar_pairs", "d02_corpus_cosine", "d04_fact_duplicates", "d07_smart_duplicates", "g06_similarity_links", "j05_episode_duplicates", "j06_duplicate_facts",
+    "j07_relations_of_all_facts", "x11_contradictions_of_all_facts", "x12_elaborations_of_all_facts", "d03_episode_duplicates", "j09_merge_candidates",
+)
+
+
+@pytest.mark.parametrize("name", ALL_PAIRS)
+def test_all_pairs_over_many_chunks(spark, alike, name, monkeypatch):
+    for limit, value in (("CHUNK", 37), ("LEAST", 60), ("HEAD", 5)):
+        monkeypatch.setattr(blocks, limit, value)
+    assert same_as_sql(spark, alike, name)
+
+
+@pytest.mark.parametrize("name", ["a20_duplicate_stats", "d01_similar_pairs", "d02_corpus_cosine", "d03_episode_duplicates", "g06_similarity_links", "j05_episode_duplicates", "j07_relations_of_all_facts", "j09_merge_candidates"])
+def test_no_pair_is_shuffled(spark, alike, name):
+    plan = QUERIES[name](spark, alike)._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and "CartesianProduct" in plan
+
+
+def test_counts_beyond_floats_of_32_bits(spark):
+    rows = [(1, ["a"] * 5000 + ["b"]), (2, ["a"] * 5001), (3, ["a"] * 4999 + ["c"] * 3), (4, ["c"]), (5, [])]
+    df = spark.createDataFrame([(i, " ".join(f"{x}{x}" for x in w)) for i, w in rows], "id long, t string")
+    got = {(r["a"], r["b"]): r["similarity"] for r in pairs.similar_pairs(df, "id", "t", 0.001).collect()}
+    c = pairs.UNIQUE**2
+    want = {(1, 2): 5000 / (25_000_000 + c) ** 0.5, (1, 3): 5000 * 4999 / ((25_000_000 + c) * (4999**2 + 9 * c)) ** 0.5, (2, 3): 4999 / (4999**2 + 9 * c) ** 0.5, (3, 4): 3 / (9 + c * 4999**2) ** 0.5}
+    assert got.keys() == {p for p in want if want[p] > 0.001} and all(abs(got[p] - want[p]) < 1e-12 for p in got)
+
+
 def test_shortest_path_ties_are_ordered_as_text(spark):
     links = spark.createDataFrame([(4, 9, 1.0), (4, 10, 1.0), (9, 3, 1.0), (10, 3, 1.0), (3, 75, 1.0)], "source long, target long, weight double")
     assert graph.shortest_path(links, 4, 75).first()["path"] == [4, 10, 3, 75]
