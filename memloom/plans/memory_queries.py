@@ -77,17 +77,9 @@ def p17(spark, sf):
 
 @query("j05_episode_duplicates", with_views(f"SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6)::DOUBLE AS likeness FROM ew a JOIN ew b ON a.id < b.id WHERE len(list_intersect(a.w, b.w)) / greatest(1, len(list_distinct(list_concat(a.w, b.w)))) >= 0.2", EPISODES, f"ew AS (SELECT id, list_distinct(regexp_extract_all(lower(summary), '{W}')) AS w FROM episodes)"))
 def j05(spark, sf):
-    """Prefixes of rare words lose nothing: alike sets share one of each one's rarest words."""
-    sets = episodes(spark, sf).select("id", F.explode(F.array_distinct(words(F.col("summary")))).alias("word"))
-    ranked = sets.join(sets.groupBy("word").agg(F.count("*").alias("df")), "word")
-    w = Window.partitionBy("id")
-    ranked = ranked.withColumn("n", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy("df", "word")))
-    prefix = ranked.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * 0.2) + 1) & (F.col("df") > 1)).select("id", "word")
-    found = prefix.select(F.col("id").alias("a"), "word").join(prefix.select(F.col("id").alias("b"), "word"), "word").where("a < b").select("a", "b").distinct()
-    side = lambda k: episodes(spark, sf).select(F.col("id").alias(k), F.array_distinct(words(F.col("summary"))).alias(f"w{k}"))
-    both = found.join(side("a"), "a").join(side("b"), "b")
-    like = F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb"))
-    return both.withColumn("likeness", like).where(F.col("likeness") >= 0.2).select("a", "b", r6(F.col("likeness")).alias("likeness"))
+    """All pairs of summaries as sets of words, in blocks."""
+    sets = episodes(spark, sf).select("id", F.array_distinct(words(F.col("summary"))).alias("w"))
+    return pairs.like_sets(sets, 0.2).withColumn("likeness", r6(F.col("likeness")))
 
 
 @query("j12_referential_insert", with_views("SELECT source, target, kind FROM links WHERE source IN (SELECT id FROM episodes) AND target IN (SELECT id FROM episodes)", EPISODES, LINKS))
@@ -208,13 +200,8 @@ def u05(spark, sf):
 @query("d02_corpus_cosine", with_views("""SELECT x.a, x.b, round(dot / sqrt(na.n * nb.n), 6)::DOUBLE AS similarity FROM (SELECT p.id AS a, q.id AS b, sum(p.tf * q.tf * p.idf * p.idf) AS dot FROM wt p JOIN wt q ON p.term = q.term AND p.id < q.id GROUP BY 1, 2) x
   JOIN (SELECT id, sum(tf * tf * idf * idf) AS n FROM wt GROUP BY id) na ON na.id = a JOIN (SELECT id, sum(tf * tf * idf * idf) AS n FROM wt GROUP BY id) nb ON nb.id = b WHERE dot / sqrt(na.n * nb.n) > 0.15""", FACTS, STOPS, TF, "wt AS (SELECT id, term, tf, ln(((SELECT count(*) FROM facts) + 1) / ((count(*) OVER (PARTITION BY term)) + 1)) + 1 AS idf FROM tf)"))
 def d02(spark, sf):
-    """Pairs of one conversation's facts or others that share a term; weights from the whole corpus."""
-    f = facts(spark, sf)
-    weighted = pairs.term_counts(f, "id", "content").join(analytics.idf(f, "content"), "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"))
-    unit = weighted.join(norms, "id").select("id", "term", (F.col("w") / F.col("n")).alias("w"))
-    dots = unit.select(F.col("id").alias("a"), "term", F.col("w").alias("wa")).join(unit.select(F.col("id").alias("b"), "term", F.col("w").alias("wb")), "term").where("a < b")
-    return dots.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("s")).where("s > 0.15").select("a", "b", r6(F.col("s")).alias("similarity"))
+    """All pairs of facts; weights from the whole corpus."""
+    return pairs.corpus_cosine(facts(spark, sf), "id", "content", 0.15).withColumn("similarity", r6(F.col("similarity")))
 
 
 @query("d08_insert_or_confirm")
