@@ -51,7 +51,7 @@ def insert_or_confirm(store: DataFrame, rows: DataFrame, threshold: float = 0.75
     """
     new = rows.select("id", "content")
     both = store.select("id", "content", F.lit(False).alias("_new")).unionByName(new.withColumn("_new", F.lit(True)))
-    pairs = similar_pairs(both, "id", "content", threshold, "_new")
+    pairs = keep(store.sparkSession, similar_pairs(both, "id", "content", threshold, "_new"))  # read several times
     kind = both.select("id", "_new")
     linked = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     linked = linked.join(kind.where("_new").select(F.col("id").alias("a")), "a").join(kind.select(F.col("id").alias("b"), F.col("_new").alias("_b_new")), "b")
