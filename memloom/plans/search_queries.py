@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from memloom.functions import fixed, rules
 from memloom.functions import scoring as sc
 from memloom.functions.sentiment import with_sentiment, with_topic
 from memloom.functions.text import jaccard, terms, words
-from memloom.operators import analytics, graph, nearest, pairs, search, stores, windows
+from memloom.operators import analytics, blocks, graph, nearest, pairs, search, stores, windows
 from memloom.plans.catalog import ORACLE_SQL, query
 from memloom.plans.indexes import text_index
 from memloom.plans.recall import budgeted_recall
@@ -341,38 +342,63 @@ def _every(name: str) -> str:
     return ORACLE_SQL[name].replace("a.source_episode = b.source_episode AND a.id < b.id", "a.id < b.id")
 
 
-def _related(f, candidates):
-    side = lambda k: f.select(F.col("id").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("fact_type", "category", "is_superseded", "w")))
-    return candidates.join(side("a"), "a").join(side("b"), "b")
-
-
-def _stated_sets(spark, sf):
-    return stated_facts(spark, sf).select("id", "fact_type", "category", "is_superseded", F.array_distinct(words(F.col("content"))).alias("w"))
+CONTRADICTS, ELABORATES = 0, 1
+
+
+def _related(spark, sf, *kinds):
+    """Pairs of all facts by the rules of contradiction, elaboration or both, in one pass over blocks of all pairs (a, b, kind,
+    confidence). A rule's parts are whole hundredths, looked at where the words are alike by 0.2 or opposites meet."""
+    f = stated_facts(spark, sf)
+    w = F.array_distinct(words(F.col("content")))
+    holds = lambda side: sum((F.array_contains("w", p[side]).cast("long") * (1 << n) for n, p in enumerate(fixed.OPPOSITES)), F.lit(0).cast("long"))
+    f = f.select("id", "is_superseded", F.xxhash64("category").alias("topic"), F.xxhash64("fact_type").alias("type"), w.alias("w"))
+    f = f.select("id", blocks.hashed(F.col("w")).alias("h"), "topic", "type", "is_superseded", rules.negated(F.col("w")).alias("negated"), holds(0).alias("x"), holds(1).alias("y"))
+
+    def rule(met):
+        a, b = met.a, met.b
+        (*_, ax, ay), (*_, bx, by) = a.extra, b.extra
+        opposite = None
+        ra, rb = np.flatnonzero(ax | ay), np.flatnonzero(bx | by)
+        if CONTRADICTS in kinds and len(ra) and len(rb):
+            opposite = np.zeros((len(a.ids), len(b.ids)), bool)
+            opposite[np.ix_(ra, rb)] = (ax[ra][:, None] & by[rb] | ay[ra][:, None] & bx[rb]) != 0
+        i, j, na, nb, shared, like = pairs.alike(met, 0.2, opposite)
+        (topic, kind, old, no), (topic2, kind2, old2, no2) = (x.extra[:4, k] for x, k in ((a, i), (b, j)))
+        topic, kind, small, large = topic == topic2, kind == kind2, np.minimum(na, nb), np.maximum(na, nb)
+        found = []
+        if CONTRADICTS in kinds:
+            points = 35 * ((like >= 0.25) & (no != no2)) + 15 * (topic & kind) + 20 * ((old | old2).astype(bool) & (like >= 0.2))
+            points += 0 if opposite is None else 35 * opposite[i, j]
+            found.append((CONTRADICTS, points, (like >= 0.15) | topic))
+        if ELABORATES in kinds:
+            inside, ratio = (np.divide(x, small, out=np.zeros(len(small)), where=small > 0) for x in (shared, large))
+            points = 40 * ((inside >= 0.6) & (ratio >= 1.3)) + 20 * topic + 10 * kind + 15 * ((large - small) / np.maximum(large, 1) > 0.3)
+            found.append((ELABORATES, points, like >= 0.2))
+        found = [(np.flatnonzero(gate & (points >= 30)), k, points) for k, points, gate in found]
+        at = np.concatenate([ok for ok, _, _ in found])
+        return i[at], j[at], [np.repeat(np.array([k for _, k, _ in found], np.int32), [len(ok) for ok, _, _ in found]), np.concatenate([np.minimum(100, points[ok]) / 100.0 for ok, _, points in found])]
+
+    packed = blocks.pack(f, "h", ("topic", "type", "is_superseded", "negated", "x", "y"))
+    return blocks.pairs(packed, rule, "kind int, confidence double").withColumn("confidence", r6(F.col("confidence")))
 
 
 @query("x11_contradictions_of_all_facts", _every("x11_contradictions"))
 def x11_all(spark, sf):
     """Contradictions among all facts. The rule's parts reach 0.3 only from a likeness of 0.2 on, but for words of opposite
-    meaning: these count from 0.15 on or within a topic. So the candidates lose no pair."""
-    f = _stated_sets(spark, sf)
-    held = pairs.holders(f, fixed.OPPOSITES)
-    found = pairs.overlapping_pairs(f, 0.2).union(pairs.overlapping_pairs(held, 0.15)).union(pairs.opposite_pairs(f, fixed.OPPOSITES, ("category",))).distinct()
-    c = rules.contradiction(F.col("a_w"), F.col("b_w"), F.col("a_category") == F.col("b_category"), F.col("a_fact_type") == F.col("b_fact_type"), F.col("a_is_superseded") | F.col("b_is_superseded"))
-    return _related(f, found).withColumn("confidence", r6(c)).where("confidence is not null").select("a", "b", "confidence")
+    meaning: these count from 0.15 on or within a topic."""
+    return _related(spark, sf, CONTRADICTS).drop("kind")
 
 
 @query("x12_elaborations_of_all_facts", _every("x12_elaborations"))
 def x12_all(spark, sf):
     """Elaborations among all facts: the rule asks for a likeness of 0.2."""
-    f = _stated_sets(spark, sf)
-    c = rules.elaboration(F.col("a_w"), F.col("b_w"), F.col("a_category") == F.col("b_category"), F.col("a_fact_type") == F.col("b_fact_type"))
-    return _related(f, pairs.overlapping_pairs(f, 0.2)).withColumn("confidence", r6(c)).where("confidence is not null").select("a", "b", "confidence")
+    return _related(spark, sf, ELABORATES).drop("kind")
 
 
 @query("j07_relations_of_all_facts", f"SELECT a, b, 'contradicts' AS kind, confidence FROM ({_every('x11_contradictions')}) UNION ALL SELECT a, b, 'elaborates', confidence FROM ({_every('x12_elaborations')})")
 def j07_all(spark, sf):
     """Pairs of facts of the whole table by both rules, each pair once for a kind, the lesser id first."""
-    return x11_all(spark, sf).withColumn("kind", F.lit("contradicts")).unionByName(x12_all(spark, sf).withColumn("kind", F.lit("elaborates"))).select("a", "b", "kind", "confidence")
+    return _related(spark, sf, CONTRADICTS, ELABORATES).withColumn("kind", F.when(F.col("kind") == CONTRADICTS, "contradicts").otherwise("elaborates"))
 
 
 @query("a03_link_kinds", with_views("SELECT kind, count(*) AS n, count(DISTINCT source) AS sources FROM links GROUP BY kind", LINKS))
