@@ -5,11 +5,14 @@ A vector is a few rows (id, slot, weight), so likeness is a join on slots and no
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memloom.functions.text import terms
+from memloom.operators import blocks
 from memloom.operators.pairs import term_counts
 
 SLOTS = 512
@@ -68,6 +71,31 @@ def similar(vectors: DataFrame, threshold: float) -> DataFrame:
     return both.where(F.round("cosine", 9) >= threshold)
 
 
+def similar_texts(rows: DataFrame, key: str, text: str, threshold: float, but: str | None = None) -> DataFrame:
+    """Pairs a < b of texts whose vectors by `tfidf` have a cosine of the threshold or more, from blocks of all pairs. but: a
+    boolean column; such rows count in the weights and are in no pair."""
+    n = rows.count()
+    keyed = rows.select(F.col(key).alias("id"), blocks.slotted(terms(F.col(text))).alias("_h"), F.col(but).alias("_but") if but else F.lit(False).alias("_but"))
+    whole = keyed.groupBy("id").agg(F.flatten(F.collect_list("_h")).alias("_h"), F.max("_but").alias("_but"))
+    packed = blocks.with_frequencies(blocks.pack(whole, "_h", ("_but",), head=0))
+
+    def weighted(row: Sequence, of: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        weights = counts * (np.log((n + 1) / (blocks.frequency_of(row, keys) + 1)) + 1)
+        at, which = np.unique(of * SLOTS + (keys >> 32 & 0xFFFFFFFF) % SLOTS, return_inverse=True)
+        of, summed = at // SLOTS, np.bincount(which, weights, minlength=len(at))
+        return of, at % SLOTS, summed / np.sqrt(np.bincount(of, summed * summed))[of]
+
+    def rule(met: blocks.Meeting) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        a, b = met.a, met.b
+        i, j = np.nonzero(a.head.astype(np.float32) @ b.head.astype(np.float32).T > threshold - 1e-4)
+        ok = (a.extra[0][i] == 0) & (b.extra[0][j] == 0)
+        i, j = i[ok], j[ok]
+        cosine = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", a.head[i[k : k + 4096]], b.head[j[k : k + 4096]]) for k in range(0, len(i), 4096))])
+        return i, j, [cosine]
+
+    return blocks.pairs(packed._replace(head=np.arange(SLOTS)), rule, "cosine double", valued=weighted).where(F.round("cosine", 9) >= threshold)
+
+
 def nearest(queries: DataFrame, store: DataFrame, k: int) -> DataFrame:
     """For each query (a few) the k stored vectors of greatest cosine: query, place, id, score."""
     from pyspark.sql.window import Window
