@@ -52,27 +52,56 @@ def continuation(similarity: Column, same_topic: Column, hours: Column, explicit
     return F.least(F.lit(1.0), F.when(similarity >= 0.3, similarity * 0.5).otherwise(0.0) + F.when(same_topic, 0.3).otherwise(0.0) + recency * 0.2 + F.when(explicit, 0.3).otherwise(0.0))
 
 
+def _clustered(sizes: np.ndarray, words: np.ndarray, row: np.ndarray, likeness: float) -> np.ndarray:
+    """The clusters of rows in their order, of so many words each; words (numbers from 0) with their rows in order. A seed's open
+    rows are not walked one by one: the words that it unites lead to the rows that hold them, whose overlaps are counted, and
+    the next row that is alike enough is looked up. It then adds its words, so overlaps only grow, and only rows behind it can
+    still join. Rows that are in a cluster are dropped from the words' lists whenever they are half of them."""
+    n = len(sizes)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    place, number, left, listed = np.full(n, -1, np.int64), 0, n, 2 * n + 1
+    for seed in range(n):
+        if place[seed] >= 0:
+            continue
+        if 2 * left < listed:
+            listed, open_ = left, np.flatnonzero(place[row] < 0)
+            order = open_[np.argsort(words[open_], kind="stable")]
+            holders, at = row[order], np.searchsorted(words[order], np.arange(words.max(initial=-1) + 2))
+        place[seed], united, here = number, set(), seed
+        new, shared = words[first[seed] : first[seed + 1]].tolist(), np.zeros(n, np.int64)
+        while True:
+            left -= 1
+            united.update(new)
+            if new:
+                shared += np.bincount(np.concatenate([holders[at[w] : at[w + 1]] for w in new]), minlength=n)
+            fits = here + 1 + np.flatnonzero(shared[here + 1 :] >= max(1, likeness * len(united) * (1 - 1e-9)))
+            fits = fits[place[fits] < 0]
+            fits = fits[shared[fits] / (len(united) + sizes[fits] - shared[fits]) >= likeness]
+            if not len(fits):
+                break
+            here = int(fits[0])
+            place[here] = number
+            new = [w for w in words[first[here] : first[here + 1]].tolist() if w not in united]
+        number += 1
+    return place
+
+
 def clusters(rows: DataFrame, group: str, key: str, keywords: str, likeness: float = 0.2) -> DataFrame:
     """Greedy clusters within each group: from the row with the most keywords on, each open row joins the first cluster whose
-    united keywords are alike enough. Order-dependent by definition, so a group is one fold; the groups are parallel."""
+    united keywords are alike enough. Order-dependent by definition, so a group is one fold; the groups are parallel. Keywords
+    are distinct and compared by 64-bit hashes; likeness is above 0."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows_ = sorted(zip(pdf[key].tolist(), map(set, pdf[keywords]), strict=True), key=lambda r: (-len(r[1]), r[0]))
-        place: dict = {}
-        for i, (seed, united) in enumerate(rows_):
-            if seed in place:
-                continue
-            number, united = len(set(place.values())), set(united)
-            place[seed] = number
-            for other, theirs in rows_[i + 1 :]:
-                both = len(united | theirs)
-                if other not in place and both and len(united & theirs) / both >= likeness:
-                    united |= theirs
-                    place[other] = number
-        return pd.DataFrame({group: pdf[group].iloc[0], key: list(place), "cluster": np.array(list(place.values()), np.int64)})
+        sets = pdf["_keys"].to_numpy()
+        size = np.array([len(s) for s in sets], np.int64)
+        order = sorted(range(len(pdf)), key=lambda i, ids=pdf[key].tolist(): (-size[i], ids[i]))
+        ids, size = [pdf[key].iloc[i] for i in order], size[order]
+        _, words = np.unique(np.concatenate([np.zeros(0, np.int64), *(sets[i] for i in order)]).astype(np.int64), return_inverse=True)
+        return pd.DataFrame({group: pdf[group].iloc[0], key: ids, "cluster": _clustered(size, words, np.repeat(np.arange(len(ids)), size), likeness)})
 
     kinds = dict(rows.dtypes)
-    return rows.select(group, key, keywords).groupBy(group).applyInPandas(fold, f"{group} {kinds[group]}, {key} {kinds[key]}, cluster long")
+    hashes = F.transform(F.array_distinct(keywords), lambda w: F.xxhash64(w))
+    return rows.select(group, key, hashes.alias("_keys")).groupBy(group).applyInPandas(fold, f"{group} {kinds[group]}, {key} {kinds[key]}, cluster long")
 
 
 def context(messages: DataFrame, key: str, text: str) -> DataFrame:

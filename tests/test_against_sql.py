@@ -1,5 +1,7 @@
 """Queries against their SQL on small tables made for what the test tables don't hold."""
 
+import time
+
 import duckdb
 import numpy as np
 import pyarrow as pa
@@ -7,6 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from memloom.operators import blocks, graph, pairs
+from memloom.operators.conversations import _clustered, clusters
 from memloom.plans import ORACLE_SQL, QUERIES
 
 
@@ -74,6 +77,27 @@ def test_counts_beyond_floats_of_32_bits(spark):
     assert got.keys() == {p for p in want if want[p] > 0.001} and all(abs(got[p] - want[p]) < 1e-12 for p in got)
 
 
+def test_clusters_equal_walking_every_open_row(spark):
+    """And a group of some thousand rows takes seconds, where the walk took a minute."""
+    rng = np.random.default_rng(8)
+    some = [(i % 2, i, sorted({f"w{x}" for x in rng.zipf(1.3, int(rng.integers(0, 25))) % 300})) for i in range(300)]
+    want = {}
+    for g in (0, 1):
+        rows, number = sorted(((i, set(w)) for k, i, w in some if k == g), key=lambda r: (-len(r[1]), r[0])), 0
+        for at, (seed, words) in enumerate(rows):
+            if seed not in want:
+                want[seed], united = number, set(words)
+                for other, theirs in rows[at + 1 :]:
+                    if other not in want and united | theirs and len(united & theirs) / len(united | theirs) >= 0.2:
+                        want[other], united = number, united | theirs
+                number += 1
+    assert {r["id"]: r["cluster"] for r in clusters(spark.createDataFrame(some, "g int, id long, w array<string>"), "g", "id", "w").collect()} == want
+    sizes = np.full(6_000, 12)
+    words, began = np.sort(rng.integers(0, 50_000, (6_000, 12)), axis=1).ravel(), time.time()
+    place = _clustered(sizes, words, np.repeat(np.arange(6_000), 12), 0.2)
+    assert place.max() > 4_000 and time.time() - began < 10
+
+
 def test_shortest_path_ties_are_ordered_as_text(spark):
     links = spark.createDataFrame([(4, 9, 1.0), (4, 10, 1.0), (9, 3, 1.0), (10, 3, 1.0), (3, 75, 1.0)], "source long, target long, weight double")
     assert graph.shortest_path(links, 4, 75).first()["path"] == [4, 10, 3, 75]
